@@ -1,0 +1 @@
+"""Reserved. Every input is a finite table and every operator is a batch plan, so nothing is built here."""
