@@ -105,13 +105,14 @@ def running_sums(
     )
 
 
-def quantile_at(value: Column, probability: float) -> Column:
-    """Aggregate over ``running_sums`` rows: the linearly interpolated quantile."""
-    place = (F.col("n_total") - 1) * F.lit(float(probability))
+def quantile_at(value: Column, probability: float, n: str = "n") -> Column:
+    """Aggregate over ``running_sums`` rows: the linearly interpolated quantile of sum ``n``."""
+    place = (F.col(f"{n}_total") - 1) * F.lit(float(probability))
     low, high = F.floor(place), F.ceil(place)
 
     def at(index: Column) -> Column:
-        hit = (F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n"))
+        before = F.col(f"{n}_before")
+        hit = (before <= index) & (index < before + F.col(n))
         return F.max(F.when(hit, value.cast("double")))
 
     fraction = F.max(place - low)
