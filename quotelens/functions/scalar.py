@@ -61,7 +61,8 @@ def frequency_label(months: Column) -> Column:
 
 def parse_basket(text: Column) -> Column:
     """Split on the bar, trim each part, drop empty parts; order is kept."""
-    return F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda part: part != "")
+    parts = F.transform(F.split(text, r"\|"), lambda part: F.trim(part))
+    return F.filter(parts, lambda part: part != "")
 
 
 def basket_signature(members: Column) -> Column:

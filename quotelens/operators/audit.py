@@ -15,7 +15,8 @@ from quotelens.operators.drift import MISSING, long_text
 from quotelens.operators.ordered import exact_quantiles, null_safe_join
 from quotelens.operators.splits import fold_map, fold_text
 
-ROWS = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def first_values(frame: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
@@ -28,7 +29,7 @@ def first_values(frame: DataFrame, keys: Sequence[str], value: str, limit: int)
     order = Window.partitionBy(*keys).orderBy(value)
     head = distinct.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit)
     lists = head.groupBy(*keys).agg(F.collect_list(value).alias("first"))
-    sizes = distinct.groupBy(*keys).agg(ROWS.alias("distinct_values"))
+    sizes = distinct.groupBy(*keys).agg(_rows().alias("distinct_values"))
     return null_safe_join(sizes, lists, keys)
 
 
@@ -56,7 +57,7 @@ TARGET_QUANTILES = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90"
 
 def target_distribution(frame: DataFrame, keys: Sequence[str], target: str = "target") -> DataFrame:
     basic = frame.groupBy(*keys).agg(
-        ROWS.alias("row_count"),
+        _rows().alias("row_count"),
         F.avg(target).alias("mean"),
         F.stddev_samp(target).alias("std"),
         F.min(target).alias("min"),
@@ -82,7 +83,7 @@ def outlier_summary(frame: DataFrame, target: str = "target") -> DataFrame:
     outside = F.coalesce((value < F.col("low_threshold")) | (value > F.col("high_threshold")), F.lit(False))
     long = F.coalesce(value >= S.LONG_DURATION_MONTHS, F.lit(False))
     return fenced.groupBy("segment", "split").agg(
-        ROWS.alias("row_count"),
+        _rows().alias("row_count"),
         F.min("low_threshold").alias("low_threshold"),
         F.min("high_threshold").alias("high_threshold"),
         F.count_if(outside).alias("outlier_rows"),
@@ -117,7 +118,7 @@ def categorical_mix(frame: DataFrame, columns: Sequence[str] = MIX_COLUMNS) -> D
     """Count and share per (segment, split, value); duration classes without rows are kept."""
     counts = long_text(frame, ["segment", "split"], columns).groupBy(
         F.col("feature").alias("column"), "segment", "split", "value"
-    ).agg(ROWS.alias("row_count"))
+    ).agg(_rows().alias("row_count"))
     if "duration_bucket" in columns:
         groups = counts.select("segment", "split").distinct()
         grid = groups.select(
@@ -154,12 +155,12 @@ def _category_rows(quotes: DataFrame, dimension: DataFrame, ids: Sequence[str])
 def categorical_summary(quotes: DataFrame, dimension: DataFrame, target: str = S.TARGET) -> DataFrame:
     rows = _category_rows(quotes, dimension, [target])
     per_value = rows.groupBy("feature", "observation_level", "value").agg(
-        ROWS.alias("n"), F.avg(target).alias("mean")
+        _rows().alias("n"), F.avg(target).alias("mean")
     )
     # Largest count first, then the alphabetically first value.
     top = F.min_by("value", F.struct((-F.col("n")).alias("c"), F.coalesce("value", F.lit(MISSING)).alias("v")))
     return per_value.groupBy("feature", "observation_level").agg(
-        ROWS.alias("cardinality"),
+        _rows().alias("cardinality"),
         F.count_if(F.col("n") < S.RARE_CATEGORY_ROWS).alias("rare_categories_lt_20"),
         top.alias("top_category"),
         F.max("n").alias("top_category_count"),
@@ -171,7 +172,7 @@ def temporal_category_counts(quotes: DataFrame, dimension: DataFrame, split: str
     return (
         _category_rows(quotes, dimension, [split])
         .groupBy(split, "feature", "observation_level", F.col("value").alias("category"))
-        .agg(ROWS.alias("count"))
+        .agg(_rows().alias("count"))
     )
 
 
@@ -221,13 +222,13 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def _grand_total(frame: DataFrame) -> Column:
-    return frame.agg(ROWS.alias("n")).scalar()
+    return frame.agg(_rows().alias("n")).scalar()
 
 
 def product_summary(frame: DataFrame) -> DataFrame:
     key = ["product_type"]
     grouped = frame.groupBy(*key).agg(
-        ROWS.alias("trainable_rows"),
+        _rows().alias("trainable_rows"),
         F.avg("basket_size").alias("mean_underlyings"),
         F.min("requested_date").alias("min_requested_date"),
         F.max("requested_date").alias("max_requested_date"),
@@ -240,7 +241,7 @@ def product_summary(frame: DataFrame) -> DataFrame:
 
 def basket_summary(frame: DataFrame) -> DataFrame:
     grouped = frame.groupBy("basket_type").agg(
-        ROWS.alias("trainable_rows"), F.count_distinct("product_type").alias("products"), *target_stats()
+        _rows().alias("trainable_rows"), F.count_distinct("product_type").alias("products"), *target_stats()
     )
     return with_median(frame, grouped, ["basket_type"]).withColumn(
         "pct_total", percent(F.col("trainable_rows"), _grand_total(frame))
@@ -249,7 +250,7 @@ def basket_summary(frame: DataFrame) -> DataFrame:
 
 def year_summary(frame: DataFrame) -> DataFrame:
     grouped = frame.groupBy("requested_year").agg(
-        ROWS.alias("trainable_rows"),
+        _rows().alias("trainable_rows"),
         F.count_distinct("product_type").alias("product_types"),
         F.count_distinct("basket_type").alias("basket_types"),
         *target_stats(),
@@ -261,7 +262,7 @@ def year_summary(frame: DataFrame) -> DataFrame:
 
 def split_summary(frame: DataFrame) -> DataFrame:
     grouped = frame.groupBy("split").agg(
-        ROWS.alias("row_count"),
+        _rows().alias("row_count"),
         F.min("requested_date").alias("min_requested_date"),
         F.max("requested_date").alias("max_requested_date"),
         F.count_distinct("product_type").alias("product_types"),
@@ -281,7 +282,7 @@ def member_summary(frame: DataFrame, dimension: DataFrame) -> DataFrame:
     """Dimension rows with how often, when and where each member appears."""
     members, key = member_usage_rows(frame), ["underlying"]
     usage = members.groupBy(*key).agg(
-        ROWS.alias("total_appearances"),
+        _rows().alias("total_appearances"),
         F.count_distinct("requested_year").alias("years_present"),
         F.count_distinct("split").alias("splits_present"),
     )
@@ -293,7 +294,7 @@ def member_summary(frame: DataFrame, dimension: DataFrame) -> DataFrame:
 
 def crosstab(frame: DataFrame, index: str, columns: str, values: Sequence) -> DataFrame:
     """Pivoted counts with explicit column values, so Spark needs no pass to discover them."""
-    return frame.groupBy(index).pivot(columns, list(values)).agg(ROWS).fillna(0)
+    return frame.groupBy(index).pivot(columns, list(values)).agg(_rows()).fillna(0)
 
 
 def period_counts(frame: DataFrame) -> DataFrame:
@@ -307,11 +308,11 @@ def period_counts(frame: DataFrame) -> DataFrame:
             F.struct(F.lit("year_basket").alias("grain"), year.alias("period"), F.col("basket_type").alias("category")),
         )
     )
-    return frame.select(cells.alias("_c")).groupBy("_c.grain", "_c.period", "_c.category").agg(ROWS.alias("row_count"))
+    return frame.select(cells.alias("_c")).groupBy("_c.grain", "_c.period", "_c.category").agg(_rows().alias("row_count"))
 
 
 def executed_counts(quotes: DataFrame) -> DataFrame:
-    return quotes.groupBy("executed").agg(ROWS.alias("row_count"))
+    return quotes.groupBy("executed").agg(_rows().alias("row_count"))
 
 
 def value_counts(frame: DataFrame) -> DataFrame:
@@ -321,20 +322,20 @@ def value_counts(frame: DataFrame) -> DataFrame:
     return (
         per_quote.unionByName(per_member)
         .groupBy("feature", "value")
-        .agg(ROWS.alias("row_count"))
+        .agg(_rows().alias("row_count"))
         .orderBy("feature", F.desc("row_count"), "value")
     )
 
 
 def count_share_text(frame: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
     """``value: n (p%)`` in count order, joined by semicolons; one entry per category."""
-    counts = frame.groupBy(*keys, column).agg(ROWS.alias("n"))
+    counts = frame.groupBy(*keys, column).agg(_rows().alias("n"))
     return _share_text(share_in_group(counts, keys, "n"), keys, column, name)
 
 
 def _share_text(shares: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
     value = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    shown = F.format_string("%.1f", F.round(F.col("share") * 100, 2))
+    shown = F.format_number(F.round(F.col("share") * 100, 2), 1)
     text = F.concat(value, F.lit(": "), F.col("n").cast("string"), F.lit(" ("), shown, F.lit("%)"))
     entry = F.struct((-F.col("n")).alias("c"), value.alias("v"), text.alias("t"))
     listed = F.sort_array(F.collect_list(entry))
@@ -352,7 +353,7 @@ def rolling_audit(frame: DataFrame, years: S.SplitYears | None) -> DataFrame:
     key = ["fold"]
     dated = frame.withColumn("year", F.year("requested_date"))
     members = explode_basket(dated, "year").select("year", F.col("underlying").alias("value"))
-    year_rows = dated.groupBy("year").agg(ROWS.alias("n"))
+    year_rows = dated.groupBy("year").agg(_rows().alias("n"))
     validation, train = F.col("role") == "validation", F.col("role") == "train"
 
     sizes = folds.join(year_rows, "year").groupBy("fold", "validation_year").agg(
@@ -382,7 +383,7 @@ def rolling_audit(frame: DataFrame, years: S.SplitYears | None) -> DataFrame:
 
     def mix(column: str, name: str) -> DataFrame:
         rows = folds.where(validation).join(
-            dated.groupBy("year", column).agg(ROWS.alias("n")), "year"
+            dated.groupBy("year", column).agg(_rows().alias("n")), "year"
         )
         return _share_text(share_in_group(rows.select("fold", column, "n"), key, "n"), key, column, name)
 
@@ -417,7 +418,7 @@ def segment_viability(frame: DataFrame) -> DataFrame:
     key, rules = ["basket_type"], S.SEGMENT_RULES
     members = explode_basket(frame, "basket_type", "split")
     grouped = frame.groupBy(*key).agg(
-        ROWS.alias("total_rows"),
+        _rows().alias("total_rows"),
         F.count_if(F.col("split") == "train").alias("train_rows"),
         F.count_if(F.col("split") == "validation").alias("validation_rows"),
         F.count_distinct("requested_year").alias("_years"),
@@ -430,7 +431,7 @@ def segment_viability(frame: DataFrame) -> DataFrame:
         F.bool_or(F.col("split") == "validation").alias("in_validation"),
     )
     gap = F.col("in_validation") & ~F.col("in_train")
-    cover = presence.groupBy(*key).agg(ROWS.alias("underlyings_present"), F.count_if(gap).alias("_missing"))
+    cover = presence.groupBy(*key).agg(_rows().alias("underlyings_present"), F.count_if(gap).alias("_missing"))
     out = with_median(frame, grouped, key)
     for part in (
         joined_values(frame, key, "product_type", "products_present"),
@@ -465,7 +466,7 @@ def segment_viability(frame: DataFrame) -> DataFrame:
 def product_viability(frame: DataFrame) -> DataFrame:
     key, rules = ["product_type"], S.SEGMENT_RULES
     grouped = frame.groupBy(*key).agg(
-        ROWS.alias("total_rows"),
+        _rows().alias("total_rows"),
         F.count_if(F.col("split") == "train").alias("train_rows"),
         F.count_if(F.col("split") == "validation").alias("validation_rows"),
         F.count_distinct("requested_year").alias("years_present"),
@@ -484,20 +485,20 @@ def split_findings(frame: DataFrame, years: S.SplitYears | None) -> DataFrame:
     total = _grand_total(frame)
 
     def top_share(column: str, rule: str) -> DataFrame:
-        most = frame.groupBy(column).agg(ROWS.alias("n")).agg(F.max("n").alias("n"))
+        most = frame.groupBy(column).agg(_rows().alias("n")).agg(F.max("n").alias("n"))
         observed = F.try_divide(F.col("n").cast("double"), total.cast("double"))
         limit = S.CONCENTRATION_LIMITS[rule]
         return most.select(F.lit(rule).alias("rule"), observed.alias("observed"), F.lit(limit).alias("threshold"), (observed <= limit).alias("passed"))
 
     members = explode_basket(frame, "split").select("split", "underlying").distinct()
-    everyone = members.select("underlying").distinct().agg(ROWS.alias("n")).scalar()
-    missing = members.groupBy("split").agg(ROWS.alias("n")).select(
+    everyone = members.select("underlying").distinct().agg(_rows().alias("n")).scalar()
+    missing = members.groupBy("split").agg(_rows().alias("n")).select(
         F.concat(F.lit("missing_members_"), F.col("split")).alias("rule"),
         (everyone - F.col("n")).cast("double").alias("observed"),
         F.lit(0.0).alias("threshold"),
         (everyone == F.col("n")).alias("passed"),
     )
-    folds = fold_map(frame, years).select("validation_year").distinct().agg(ROWS.alias("n")).select(
+    folds = fold_map(frame, years).select("validation_year").distinct().agg(_rows().alias("n")).select(
         F.lit("rolling_folds").alias("rule"), F.col("n").cast("double").alias("observed"),
         F.lit(1.0).alias("threshold"), (F.col("n") >= 1).alias("passed"),
     )
@@ -508,7 +509,7 @@ def split_findings(frame: DataFrame, years: S.SplitYears | None) -> DataFrame:
         F.col("is_viable_for_segment_model").alias("passed"),
     )
     products = product_viability(frame).agg(
-        F.count_if("is_viable_for_product_model").cast("double").alias("ok"), ROWS.cast("double").alias("n")
+        F.count_if("is_viable_for_product_model").cast("double").alias("ok"), _rows().cast("double").alias("n")
     ).select(
         F.lit("viable_products").alias("rule"), F.col("ok").alias("observed"), F.col("n").alias("threshold"),
         (F.col("ok") == F.col("n")).alias("passed"),
@@ -536,7 +537,7 @@ def monthly_series(series: DataFrame) -> DataFrame:
 
 def reference_usage(frame: DataFrame, dimension: DataFrame) -> DataFrame:
     usage = explode_basket(frame, S.TARGET).groupBy("underlying").agg(
-        ROWS.alias("rfq_mentions"), F.avg(S.TARGET).alias("target_mean")
+        _rows().alias("rfq_mentions"), F.avg(S.TARGET).alias("target_mean")
     )
     return dimension.join(usage, "underlying", "left").fillna(0, ["rfq_mentions"])
 
@@ -546,7 +547,7 @@ def maturity_excess(quotes: DataFrame) -> DataFrame:
     excess = F.col(S.TARGET) - fn.month_diff(F.col("start_date"), F.col("end_date"))
     known = quotes.where(F.col(S.TARGET).isNotNull())
     counts = known.agg(
-        ROWS.alias("_all"), *[F.count_if(excess > t).alias(f"t{i}") for i, t in enumerate(S.EXCESS_THRESHOLDS)]
+        _rows().alias("_all"), *[F.count_if(excess > t).alias(f"t{i}") for i, t in enumerate(S.EXCESS_THRESHOLDS)]
     )
     rows = F.explode(
         F.array(
@@ -565,13 +566,13 @@ def eda_summary(quotes: DataFrame, frame: DataFrame) -> DataFrame:
     development = F.col("split").isin("train", "validation")
     target = F.when(development, F.col(S.TARGET))
     everything = quotes.agg(
-        ROWS.alias("rfq_rows"),
+        _rows().alias("rfq_rows"),
         F.min("requested_date").alias("date_min"),
         F.max("requested_date").alias("date_max"),
         F.count_if(F.col(S.TARGET).isNull()).alias("target_missing_rows"),
     )
     kept = frame.agg(
-        ROWS.alias("trainable_rows"),
+        _rows().alias("trainable_rows"),
         F.count_if(development).alias("development_rows"),
         F.count_distinct("requested_year").alias("years"),
         F.count_distinct("product_type").alias("product_types"),
@@ -596,7 +597,7 @@ def profile_columns(frame: DataFrame, table: str) -> DataFrame:
     number = F.when(F.col("feature").isin(*numeric), F.col("value").try_cast("double"))
     return long.groupBy("feature").agg(
         F.lit(table).alias("table"),
-        ROWS.alias("row_count"),
+        _rows().alias("row_count"),
         F.count_if(F.col("value").isNull()).alias("null_rows"),
         F.approx_count_distinct("value").alias("approx_distinct"),
         F.min(number).alias("min"),

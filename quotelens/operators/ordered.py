@@ -15,9 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LINEAR_BUCKETS = 1024
-LOG_STEPS_PER_OCTAVE = 25
-LOG_OCTAVES = 40
+BUCKETS_PER_OCTAVE = 1024
+FINEST_STEP = float(2**20)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -42,17 +41,14 @@ def value_counts(frame: DataFrame, keys: Sequence[str], value: str, **sums: Colu
     )
 
 
-def _position_in_range(value: Column, low: Column, high: Column) -> Column:
-    """Bucket number, non-decreasing in the value: linear steps, refined by powers of two.
+def order_bucket(value: Column) -> Column:
+    """Bucket number, non-decreasing in the value: even steps of its logarithm on either side of 0.
 
-    The linear part balances even ranges; the logarithmic part splits the first linear steps of
-    long-tailed ones.  Both only use the exact minimum and maximum, so a recomputed task lands
-    every row in the same bucket.
+    It depends on the value alone, so no pass over the data is needed to choose the cuts and a
+    recomputed task lands every row in the same bucket.  Neighbouring buckets are 0.07% apart.
     """
-    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
-    linear = F.floor(share * LINEAR_BUCKETS)
-    octave = F.floor(F.log2(share * float(2**LOG_OCTAVES) + 1.0) * LOG_STEPS_PER_OCTAVE)
-    return linear * (LOG_OCTAVES * LOG_STEPS_PER_OCTAVE + 1) + octave
+    size = F.floor(F.log2(F.abs(value) * FINEST_STEP + 1.0) * BUCKETS_PER_OCTAVE)
+    return F.when(value < 0, -size).otherwise(size)
 
 
 def running_sums(
@@ -63,18 +59,11 @@ def running_sums(
     ``counts`` holds one row per (keys, value).  ``_before`` covers strictly smaller values.
     """
     keys = list(keys)
-    number = F.col(value).cast("double")
-    if keys:
-        bounds = counts.groupBy(*keys).agg(F.min(number).alias("_low"), F.max(number).alias("_high"))
-        placed = null_safe_join(counts, bounds, keys)
-        placed = placed.withColumn("_bucket", _position_in_range(number, F.col("_low"), F.col("_high")))
-        # Shared by the local sums and the bucket totals, so the counts are moved once.
-        placed = placed.drop("_low", "_high").repartition(*keys, "_bucket")
-    else:
-        # One-row side: its size does not depend on the data.
-        keyed = counts.withColumn("_all", F.lit(0))
-        out = running_sums(keyed, ["_all"], value, sums)
-        return out.drop("_all")
+    if not keys:
+        return running_sums(counts.withColumn("_all", F.lit(0)), ["_all"], value, sums).drop("_all")
+    # Shared by the local sums and the bucket totals, so the counts are moved once.
+    placed = counts.withColumn("_bucket", order_bucket(F.col(value).cast("double")))
+    placed = placed.repartition(*keys, "_bucket")
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)

@@ -222,7 +222,7 @@ def request_contract(requests: DataFrame, *, atomic: bool = False) -> DataFrame:
         if name not in frame.columns:
             frame = frame.withColumn(name, F.lit(S.UNKNOWN))
         frame = frame.withColumn(name, F.coalesce(name, F.lit(S.UNKNOWN)))
-    members = F.transform(fn.parse_basket(F.col("underlyings")), F.upper)
+    members = F.transform(fn.parse_basket(F.col("underlyings")), lambda name: F.upper(name))
     frame = frame.withColumn("_members", members).withColumns(
         {
             "underlyings": F.array_join("_members", "|"),

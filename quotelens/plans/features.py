@@ -105,10 +105,15 @@ def feature_table(
     registry: S.FeatureRegistry | None = None,
     keep: tuple[str, ...] = (),
     include_target: bool = True,
+    history: DataFrame | None = None,
 ) -> DataFrame:
-    """Key, ``keep`` columns, numeric features, categorical features and, if asked, the target."""
+    """Key, ``keep`` columns, numeric features, categorical features and, if asked, the target.
+
+    ``history`` is a stored ``rolling_history(series)``; pass it when several batches share it.
+    """
     registry = registry or S.FeatureRegistry()
-    aggregates = aggregate_members(member_rows(quotes, rolling_history(series), dimension))
+    history = rolling_history(series) if history is None else history
+    aggregates = aggregate_members(member_rows(quotes, history, dimension))
     wide = contract_columns(quotes, registry).join(aggregates, S.ID, "left")
     wide = wide.fillna(S.UNKNOWN, subset=_TEXT_WITH_DEFAULT)
     wide = wide.withColumns(contract_terms()).withColumns(spread_terms())

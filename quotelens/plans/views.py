@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens import schema as S
+from quotelens.operators.baskets import member_rows
+from quotelens.operators.rolling import rolling_history
+from quotelens.operators.splits import exclude_test, supervised
+from quotelens.plans.features import feature_table
+from quotelens.session import materialise
 
 
 class Domain:
@@ -92,3 +97,106 @@ class Domain:
             F.date_add(asked, (key % 3 + 365 * (1 + key % 8)).cast("int")).alias("end_date"),
             F.when(executed, 6.0 + F.col("_quantity").cast("double") / F.col("_lines").cast("double")).alias("avg_duration_months"),
         )
+
+    # The same tables with faults planted by key, so that every quality rule has work to do.
+
+    @cached_property
+    def dirty_quotes(self) -> DataFrame:
+        key = F.col("rfq_id")
+
+        def hit(divisor: int, rest: int = 0):
+            return key % divisor == rest
+
+        def patched(name: str, *cases) -> object:
+            chain = None
+            for condition, value in cases:
+                value = F.lit(value) if not hasattr(value, "alias") else value
+                chain = F.when(condition, value) if chain is None else chain.when(condition, value)
+            return chain.otherwise(F.col(name))
+
+        text = F.col("underlyings")
+        return self.quotes.select(
+            (key - F.when(hit(97, 1), 1).otherwise(0)).alias("rfq_id"),
+            "product_type",
+            patched(
+                "underlyings",
+                (hit(61), F.concat(text, F.lit("| ZZZ |"))),
+                (hit(59), F.concat(text, F.lit("|"), F.element_at(F.split(text, r"\|"), 1))),
+            ).alias("underlyings"),
+            patched("basket_type", (hit(53), "single"), (hit(31), "best_of")).alias("basket_type"),
+            patched("autocall_barrier_pct", (hit(47), 3.0)).alias("autocall_barrier_pct"),
+            patched("protection_barrier_pct", (hit(43), 0.0), (hit(101), -0.1)).alias("protection_barrier_pct"),
+            patched("no_call_period_months", (hit(79), 400), (hit(103), -1)).alias("no_call_period_months"),
+            patched("observation_frequency", (hit(71), "every blue moon"), (hit(67), "fortnightly")).alias("observation_frequency"),
+            patched("quoted_implied_vol", (hit(41), 2.5)).alias("quoted_implied_vol"),
+            patched("notional_credits", (hit(37), 0.0)).alias("notional_credits"),
+            patched("counterparty", (hit(29), None)).alias("counterparty"),
+            "trader_id",
+            "requested_date",
+            patched("executed", (hit(23), None)).alias("executed"),
+            patched("start_date", (hit(83), F.date_sub("requested_date", 5))).alias("start_date"),
+            patched("end_date", (hit(89), F.date_sub("start_date", 1))).alias("end_date"),
+            patched("avg_duration_months", (hit(73), None), (hit(107), -1.0)).alias("avg_duration_months"),
+        )
+
+    @cached_property
+    def dirty_series(self) -> DataFrame:
+        day, date = F.dayofmonth("date"), F.col("date")
+        return self.series.select(
+            F.when(day == 15, F.date_sub(date, 1)).when(F.year(date) >= 1998, F.date_add(date, 30)).otherwise(date).alias("date"),
+            F.when(day == 9, None).otherwise(F.col("underlying")).alias("underlying"),
+            F.when(day == 7, F.col("realized_vol_63d") + 3.0).when(day == 8, None).otherwise(F.col("realized_vol_63d")).alias("realized_vol_63d"),
+        )
+
+    @cached_property
+    def dirty_dimension(self) -> DataFrame:
+        name, base = F.col("underlying"), F.col("structural_base_vol")
+        return self.dimension.select(
+            F.when(name == "PROMO", "STANDARD").otherwise(name).alias("underlying"),
+            F.when(name == "LARGE", None).otherwise(F.col("sector")).alias("sector"),
+            F.when(name == "SMALL", base + 2.0).otherwise(base).alias("structural_base_vol"),
+        )
+
+    @cached_property
+    def supervised(self) -> DataFrame:
+        return supervised(self.quotes, self.split_years)
+
+    @cached_property
+    def development(self) -> DataFrame:
+        return exclude_test(self.supervised)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return rolling_history(self.series)
+
+    @cached_property
+    def stored_history(self) -> DataFrame:
+        """The history once on disk: every feature build reads it at least twice."""
+        return materialise(self.history)
+
+    @cached_property
+    def member_rows(self) -> DataFrame:
+        return member_rows(self.quotes, self.stored_history, self.dimension)
+
+    def features(self, *keep: str, quotes: DataFrame | None = None, include_target: bool = True) -> DataFrame:
+        return feature_table(
+            self.quotes if quotes is None else quotes,
+            self.series,
+            self.dimension,
+            registry=self.registry,
+            keep=keep,
+            include_target=include_target,
+            history=self.stored_history,
+        )
+
+    @cached_property
+    def model_frame(self) -> DataFrame:
+        """Supervised quotes with every feature, their split, their segment and ``target``, stored.
+
+        Doubles are kept to nine places: sums added in another order then still give equal values,
+        so ranks and distinct counts do not depend on the partitioning.
+        """
+        frame = self.features("split", "segment", quotes=self.supervised)
+        doubles = [f.name for f in frame.schema.fields if f.dataType.typeName() == "double"]
+        steady = {c: F.round(F.col(c) * 1.0000000000001, 9) for c in doubles}
+        return materialise(frame.withColumns(steady).withColumn("target", F.col(S.TARGET)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +27,25 @@ def build_session(app: str = "quotelens", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Materialise a reused frame in the shared checkpoint folder and cut its lineage.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    A cluster names the folder in ``spark.checkpoint.dir``; only a local session without that
-    setting falls back to a temporary folder.
+    Only a local session without that setting falls back to a temporary folder.
     """
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="quotelens-checkpoint-")
-        context.setCheckpointDir(folder)
-    return frame.checkpoint(eager=True)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        base = tempfile.mkdtemp(prefix="quotelens-")
+    return f"{base.rstrip('/')}/quotelens-{uuid.uuid4().hex}"
+
+
+def materialise(frame: DataFrame) -> DataFrame:
+    """Write a reused frame once as parquet and read it back.
+
+    Like a checkpoint it cuts the lineage and survives lost executors; unlike one it stays
+    columnar, so later scans read only the columns they need.
+    """
+    path = f"{scratch_folder(frame.sparkSession)}/table"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -23,7 +23,7 @@ def typed(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return column
     if isinstance(kind, T.DateType):
-        return F.trim(column).try_cast(T.TimestampType()).cast(kind)
+        return F.trim(column).try_cast(kind)
     number = F.trim(column).try_cast("double")
     if isinstance(kind, T.IntegerType):
         # "3.0" is a whole number written by a tool that had nulls in the column.
