@@ -309,14 +309,14 @@ def _block_in(block):
     return "feature IN (" + ", ".join(f"'{c}'" for c in sorted(REG.block_columns(block))) + ")"
 
 
-_BEST = "greatest(global_train_signal, single_train_signal, worst_of_train_signal)"
+_BEST = "greatest(round(global_train_signal, 9), round(single_train_signal, 9), round(worst_of_train_signal, 9))"
 
 
 @query(
     "feature_signal_by_scope",
     f"""SELECT feature, feature_type, {rs(*[f'{sc}_{sp}_signal' for sp in ('train', 'validation') for sc in association.SCOPES])}, {', '.join(f'{_block_in(b)} AS in_{b}' for b in _BLOCKS)},
  concat_ws('+', {', '.join(f"CASE WHEN {_block_in(b)} THEN '{b}' END" for b in _BLOCKS)}) AS presence_pattern,
- CASE {' '.join(f"WHEN {sc}_train_signal = {_BEST} THEN '{sc}'" for sc in association.SCOPES)} ELSE '' END AS highest_train_signal_scope FROM (SELECT feature, feature_type, {_WIDE} FROM scope_signal_v GROUP BY feature, feature_type)""",
+ CASE {' '.join(f"WHEN round({sc}_train_signal, 9) = {_BEST} THEN '{sc}'" for sc in association.SCOPES)} ELSE '' END AS highest_train_signal_scope FROM (SELECT feature, feature_type, {_WIDE} FROM scope_signal_v GROUP BY feature, feature_type)""",
 )
 def feature_signal_by_scope(d):
     return association.feature_signal_by_scope(d.model_frame, REG)

@@ -17,6 +17,7 @@ __all__ = [
     "duration_bucket",
     "finite",
     "frequency_label",
+    "general_text",
     "frequency_months",
     "join_sorted",
     "maturity_bucket",
@@ -168,3 +169,21 @@ def drift_status(*checks: tuple[Column, str]) -> Column:
         warning = warning | F.coalesce(F.abs(effect) >= low, F.lit(False))
         failure = failure | F.coalesce(F.abs(effect) >= high, F.lit(False))
     return F.when(failure, "fail").when(warning, "warning").otherwise("pass")
+
+
+def general_text(value: Column) -> Column:
+    """Number as text with six significant digits and no padding, as ``%g`` prints it."""
+    magnitude = F.abs(value)
+    exponent = F.floor(F.log10(magnitude))
+
+    def trimmed(number: Column) -> Column:
+        text = number.cast("decimal(30,12)").cast("string")
+        return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+
+    chain = F.when(value.isNull(), None).when(value == 0, F.lit("0"))
+    for power in range(-4, 6):
+        chain = chain.when(exponent == power, trimmed(F.round(value, 5 - power)))
+    mantissa = trimmed(F.round(value / F.pow(F.lit(10.0), exponent), 5))
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    power_text = F.lpad(F.abs(exponent).cast("string"), 2, "0")
+    return chain.otherwise(F.concat(mantissa, F.lit("e"), sign, power_text))

@@ -201,10 +201,12 @@ def feature_signal_by_scope(
             for scope in SCOPES
         ]
     )
-    best = F.greatest(*[F.col(f"{scope}_train_signal") for scope in SCOPES])
+    # Signals equal to nine places tie; the wider scope then wins.
+    level = {scope: F.round(f"{scope}_train_signal", 9) for scope in SCOPES}
+    best = F.greatest(*level.values())
     strongest = F.lit("")
     for scope in reversed(SCOPES):
-        strongest = F.when(F.col(f"{scope}_train_signal") == best, F.lit(scope)).otherwise(strongest)
+        strongest = F.when(level[scope] == best, F.lit(scope)).otherwise(strongest)
     return wide.withColumns(
         {
             **{f"in_{block}": F.col("feature").isin(*sorted(members[block])) for block in blocks},

@@ -101,7 +101,8 @@ def ood_flags(requests: DataFrame, ranges: DataFrame) -> DataFrame:
 
     def message(name: str) -> Column:
         value, low, high = F.col(name).cast("double"), F.col(f"{name}_min"), F.col(f"{name}_max")
-        text = F.format_string(f"{name}=%s is outside the training range [%s, %s]", value.cast("string"), low.cast("string"), high.cast("string"))
+        shown = [fn.general_text(v) for v in (value, low, high)]
+        text = F.format_string(f"{name}=%s is outside the training range [%s, %s]", *shown)
         return F.when((value < low) | (value > high), text)
 
     warnings = F.array_compact(F.array(*[message(c) for c in S.RANGE_FIELDS]))

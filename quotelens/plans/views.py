@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens import schema as S
+from quotelens.functions import quarter_text
 from quotelens.operators.baskets import member_rows
 from quotelens.operators.rolling import rolling_history
 from quotelens.operators.splits import exclude_test, supervised
-from quotelens.plans.features import feature_table
+from quotelens.plans.features import contract_columns, contract_terms, feature_table
 from quotelens.session import materialise
 
 
@@ -189,6 +190,13 @@ class Domain:
             history=self.stored_history,
         )
 
+    @cached_property
+    def contract_frame(self) -> DataFrame:
+        """Supervised quotes with contract columns only, stored: enough for the baselines."""
+        frame = contract_columns(self.supervised, self.registry).withColumns(contract_terms())
+        frame = frame.withColumn("block", quarter_text(F.col("requested_date")))
+        return materialise(frame.withColumn("target", F.col(S.TARGET)))
+
     @cached_property
     def model_frame(self) -> DataFrame:
         """Supervised quotes with every feature, their split, their segment and ``target``, stored.
