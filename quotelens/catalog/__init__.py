@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "expressions", "pointintime", "audits", "statistics", "modeling")
+MODULES = ("quality", "expressions", "pointintime", "audits", "statistics", "modeling", "learning")
 
 
 def load():

@@ -47,13 +47,14 @@ def _pred(d, name: str, rows: DataFrame | None = None) -> DataFrame:
 def _all_predictions(d) -> DataFrame:
     frame = d.contract_frame
     train, validation = frame.where("split = 'train'"), frame.where("split = 'validation'")
-    parts = [baselines.group_median(train, validation, keys, "target").withColumn("model_name", F.lit(name)) for name, keys in S.BASELINE_KEYS.items()]
-    parts += [
-        baselines.constant(train, validation, how, "target").withColumn("model_name", F.lit(f"global_{how}")) for how in ("mean", "median")
+    medians = baselines.group_medians(train, validation, S.BASELINE_KEYS, "target")
+    constants = [
+        baselines.constant(train, validation, how, "target").select(
+            F.lit(f"global_{how}").alias("model_name"), "rfq_id", F.col("target").alias("actual"), "prediction"
+        )
+        for how in ("mean", "median")
     ]
-    return reduce(
-        DataFrame.unionByName, [p.select("model_name", "rfq_id", F.col("target").alias("actual"), "prediction") for p in parts]
-    )
+    return reduce(DataFrame.unionByName, [medians, *constants])
 
 
 BEST = "median_by_product_frequency_maturity"
@@ -74,11 +75,11 @@ def baseline_group_median(d):
 
 
 _ENC = ("product_type", "counterparty", "observation_frequency", "basket_signature")
-cte("enc_rows_v", " UNION ALL ".join(f"SELECT rfq_id, split, '{c}' AS feature, {c} AS value FROM enc_src_v" for c in _ENC))
 cte(
     "enc_src_v",
     "SELECT rfq_id, split, product_type, CASE WHEN requested_month = 3 THEN NULL ELSE counterparty END AS counterparty, observation_frequency, basket_signature FROM csup_v",
 )
+cte("enc_rows_v", " UNION ALL ".join(f"SELECT rfq_id, split, '{c}' AS feature, {c} AS value FROM enc_src_v" for c in _ENC))
 cte(
     "enc_vocab_v",
     """SELECT feature, value, n, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS code FROM (SELECT feature, value, count(*) AS n FROM enc_rows_v

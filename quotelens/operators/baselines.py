@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,3 +32,29 @@ def group_median(
     overall = constant_value(train, "median", target)
     scored = null_safe_join(rows, table, list(keys), "left")
     return scored.withColumn("prediction", F.coalesce("_median", overall)).drop("_median")
+
+
+def group_medians(
+    train: DataFrame, rows: DataFrame, key_sets: Mapping[str, Sequence[str]], target: str = S.TARGET
+) -> DataFrame:
+    """Every group-median baseline in one plan: (model_name, rfq_id, actual, prediction).
+
+    Rows are unpivoted to one (model, key) pair per key set, so all tables are fitted by one
+    grouping and applied by one join instead of one of each per baseline.
+    """
+
+    def keyed(frame: DataFrame) -> DataFrame:
+        pairs = F.array(
+            *[
+                F.struct(F.lit(name).alias("model_name"), F.to_json(F.struct(*keys)).alias("_key"))
+                for name, keys in key_sets.items()
+            ]
+        )
+        return frame.select(S.ID, target, F.explode(pairs).alias("_p")).select(S.ID, target, "_p.model_name", "_p._key")
+
+    table = exact_quantiles(keyed(train), ["model_name", "_key"], target, {"_median": 0.5})
+    overall = constant_value(train, "median", target)
+    scored = keyed(rows).join(table, ["model_name", "_key"], "left")
+    return scored.select(
+        "model_name", S.ID, F.col(target).alias("actual"), F.coalesce("_median", overall).alias("prediction")
+    )

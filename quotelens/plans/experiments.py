@@ -15,7 +15,7 @@ from quotelens import schema as S
 from quotelens.operators.metrics import absolute_error
 from quotelens.operators.ordered import positions
 from quotelens.operators.selection import seeded_sample
-from quotelens.plans.models import LABEL, Candidate, Fitted, evaluate, fit
+from quotelens.plans.models import LABEL, Candidate, Fitted, evaluate, evaluate_many
 
 RESULT_SCHEMA = (
     "model_name string, estimator_class string, feature_block string, encoding_strategy string, validation_mae double,"
@@ -46,46 +46,50 @@ def fold_years(frame: DataFrame, years: S.SplitYears | None, min_train_years: in
     return [y for i, y in enumerate(present) if i >= min_train_years and (years is None or y <= years.validation)]
 
 
-def rolling(
-    frame: DataFrame,
-    candidates: Sequence[Candidate],
-    registry: S.FeatureRegistry,
-    years: S.SplitYears,
-    segment: str | None = None,
-) -> DataFrame:
-    """Candidates by expanding yearly folds, optionally inside one segment."""
+FOLD_COLUMNS = "validation_year int, segment string"
+
+
+def _fold_jobs(frame: DataFrame, candidates: Sequence[Candidate], years: S.SplitYears, segment: str | None) -> list[tuple]:
     if segment:
         frame = frame.where(F.col("segment") == segment)
-    rows = []
-    for year in fold_years(frame, years):
-        train, validation = frame.where(F.col("requested_year") < year), frame.where(F.col("requested_year") == year)
-        for candidate in candidates:
-            result, _ = evaluate(candidate, train, validation, registry)
-            rows.append({**result, "validation_year": year, "segment": segment or "global"})
-    return _table(frame.sparkSession, rows, "validation_year int, segment string")
+    asked = F.col("requested_year")
+    return [
+        (c, frame.where(asked < year), frame.where(asked == year), {"validation_year": year, "segment": segment or "global"})
+        for year in fold_years(frame, years)
+        for c in candidates
+    ]
+
+
+def rolling(frame: DataFrame, candidates: Sequence[Candidate], registry: S.FeatureRegistry, years: S.SplitYears) -> DataFrame:
+    """Candidates by expanding yearly folds."""
+    rows, _ = evaluate_many(_fold_jobs(frame, candidates, years, None), registry)
+    return _table(frame.sparkSession, rows, FOLD_COLUMNS)
+
+
+def segmented_rolling(
+    frame: DataFrame, candidates: Mapping[str, Sequence[Candidate]], registry: S.FeatureRegistry, years: S.SplitYears
+) -> DataFrame:
+    """Candidates by segment and expanding yearly fold."""
+    jobs = [job for segment, grid in candidates.items() for job in _fold_jobs(frame, grid, years, segment)]
+    rows, _ = evaluate_many(jobs, registry)
+    return _table(frame.sparkSession, rows, FOLD_COLUMNS)
 
 
 def segmented(
     frame: DataFrame, candidates: Mapping[str, Sequence[Candidate]], registry: S.FeatureRegistry
 ) -> tuple[DataFrame, DataFrame]:
     """One model per segment on the holdout: (metrics, predictions)."""
-    rows, scored = [], []
+    sizes = {
+        r["segment"]: r["n"]
+        for r in frame.where("split = 'train'").groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+    jobs = []
     for segment, grid in candidates.items():
         part = frame.where(F.col("segment") == segment)
         train, validation = part.where("split = 'train'"), part.where("split = 'validation'")
-        train_rows = train.count()
-        for candidate in grid:
-            result, predicted = evaluate(candidate, train, validation, registry)
-            rows.append({**result, "segment": segment, "train_rows": train_rows})
-            scored.append(predicted.withColumn("segment", F.lit(segment)))
-    return _table(frame.sparkSession, rows, "segment string, train_rows bigint"), reduce(DataFrame.unionByName, scored)
-
-
-def segmented_rolling(
-    frame: DataFrame, candidates: Mapping[str, Sequence[Candidate]], registry: S.FeatureRegistry, years: S.SplitYears
-) -> DataFrame:
-    tables = [rolling(frame, grid, registry, years, segment) for segment, grid in candidates.items()]
-    return reduce(DataFrame.unionByName, tables)
+        jobs += [(c, train, validation, {"segment": segment, "train_rows": sizes.get(segment, 0)}) for c in grid]
+    rows, scored = evaluate_many(jobs, registry)
+    return _table(frame.sparkSession, rows, "segment string, train_rows bigint"), scored
 
 
 def evaluate_strategy(

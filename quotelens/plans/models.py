@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
@@ -100,7 +101,7 @@ def _category_stages(train: DataFrame, columns: Sequence[str], encoding: str):
     largest = max(len(values) for values in labels)
     if encoding == "onehot":
         outputs = [f"hot_{c}" for c in columns]
-        encoder = OneHotEncoder(inputCols=indexed, outputCols=outputs, dropLast=False, handleInvalid="keep")
+        encoder = OneHotEncoder(inputCols=indexed, outputCols=outputs, dropLast=False)
         return [indexer, encoder], outputs, largest
     if encoding == "ordinal":
         cases = ", ".join(
@@ -176,6 +177,25 @@ def predictions(fitted: Fitted, rows: DataFrame) -> DataFrame:
     )
 
 
+def describe(candidate: Candidate, metrics, registry: S.FeatureRegistry) -> dict:
+    """Result row of one candidate from its metrics row."""
+    numeric, categorical = registry.select_block(candidate.block)
+    return {
+        "model_name": candidate.name,
+        "estimator_class": candidate.family,
+        "feature_block": candidate.block,
+        "encoding_strategy": candidate.encoding,
+        "validation_mae": metrics["mae"],
+        "validation_rmse": metrics["rmse"],
+        "validation_r2": metrics["r2"],
+        "validation_median_absolute_error": metrics["median_absolute_error"],
+        "validation_rows": metrics["row_count"],
+        "n_numeric_features": len(numeric),
+        "n_categorical_features": len(categorical),
+        "n_total_features": len(numeric) + len(categorical),
+    }
+
+
 def evaluate(candidate: Candidate, train: DataFrame, validation: DataFrame, registry: S.FeatureRegistry) -> tuple[dict, DataFrame]:
     """Metrics, timings and sizes of one candidate, and its validation predictions."""
     started = time.perf_counter()
@@ -185,22 +205,32 @@ def evaluate(candidate: Candidate, train: DataFrame, validation: DataFrame, regi
     started = time.perf_counter()
     row = regression_metrics(scored).head()
     predict_seconds = time.perf_counter() - started
-    numeric, categorical = registry.select_block(candidate.block)
-    result = {
-        "model_name": candidate.name,
-        "estimator_class": candidate.family,
-        "feature_block": candidate.block,
-        "encoding_strategy": candidate.encoding,
-        "validation_mae": row["mae"],
-        "validation_rmse": row["rmse"],
-        "validation_r2": row["r2"],
-        "validation_median_absolute_error": row["median_absolute_error"],
-        "validation_rows": row["row_count"],
+    timing = {
         "fit_seconds": fit_seconds,
         "validation_predict_seconds": predict_seconds,
         "validation_rows_per_second_predict": row["row_count"] / predict_seconds if predict_seconds else None,
-        "n_numeric_features": len(numeric),
-        "n_categorical_features": len(categorical),
-        "n_total_features": len(numeric) + len(categorical),
     }
-    return result, scored
+    return {**describe(candidate, row, registry), **timing}, scored
+
+
+def evaluate_many(
+    jobs: Sequence[tuple[Candidate, DataFrame, DataFrame, dict]], registry: S.FeatureRegistry
+) -> tuple[list[dict], DataFrame]:
+    """Fit each (candidate, train, validation, labels), then score and measure all in one job.
+
+    Returns one row per job, labels included, and the predictions with their job number.
+    """
+    fits, parts = [], []
+    for number, (candidate, train, validation, _) in enumerate(jobs):
+        started = time.perf_counter()
+        fitted = fit(candidate, train, registry)
+        fits.append(time.perf_counter() - started)
+        parts.append(predictions(fitted, validation).withColumn("job", F.lit(number)))
+    scored = reduce(DataFrame.unionByName, parts)
+    measured = {row["job"]: row for row in regression_metrics(scored, ["job"]).collect()}
+    rows = [
+        {**describe(candidate, measured[n], registry), "fit_seconds": fits[n], **labels}
+        for n, (candidate, _, _, labels) in enumerate(jobs)
+        if n in measured
+    ]
+    return rows, scored
