@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from quotelens.catalog.base import INDICATORS, SPREADS, TERMS, cte, query, r, rs
 from quotelens.operators import audit, baskets, splits
 from quotelens.operators.asof import asof_join
-from quotelens.plans.features import feature_table
 
 HIST = [
     "realized_vol_63d_21d_mean",
@@ -128,9 +127,7 @@ def features(d):
     f"SELECT rfq_id, underlyings, requested_date, {r('avg_duration_months')} AS avg_duration_months, {feature_select(_registry())} FROM features_v WHERE executed AND avg_duration_months IS NOT NULL",
 )
 def combined_frame(d):
-    return feature_table(
-        splits.trainable(d.quotes), d.series, d.dimension, registry=d.registry, keep=("underlyings", "requested_date")
-    )
+    return d.features("underlyings", "requested_date", quotes=splits.trainable(d.stored_quotes))
 
 
 @query("select_block", f"SELECT rfq_id, {', '.join(f'{r(c)} AS {c}' if c in _CONTRACT_DOUBLE else c for b in [_registry().select_block('compact_core')] for c in [*b[0], *b[1]])} FROM features_v")

@@ -226,7 +226,7 @@ def permutation_importance(
     scored = fitted.predict(reduce(DataFrame.unionByName, shuffled))
     errors = scored.groupBy("_feature", "_repeat").agg(F.avg(absolute_error(LABEL)).alias("mae"))
     return errors.groupBy(F.col("_feature").alias("feature")).agg(
-        F.avg(F.col("mae") - plain).alias("importance_mean"), F.stddev_pop(F.col("mae") - plain).alias("importance_std")
+        (F.avg("mae") - plain).alias("importance_mean"), F.stddev_pop("mae").alias("importance_std")
     )
 
 

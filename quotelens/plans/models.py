@@ -101,8 +101,10 @@ def _category_stages(train: DataFrame, columns: Sequence[str], encoding: str):
     largest = max(len(values) for values in labels)
     if encoding == "onehot":
         outputs = [f"hot_{c}" for c in columns]
-        encoder = OneHotEncoder(inputCols=indexed, outputCols=outputs, dropLast=False)
-        return [indexer, encoder], outputs, largest
+        # Plain numbers: the encoder then sizes itself from the data and keeps a slot for the rest.
+        plain = SQLTransformer(statement=f"SELECT *, {', '.join(f'idx_{c} * 1.0D AS code_{c}' for c in columns)} FROM __THIS__")
+        encoder = OneHotEncoder(inputCols=[f"code_{c}" for c in columns], outputCols=outputs, dropLast=False, handleInvalid="keep")
+        return [indexer, plain, encoder], outputs, largest
     if encoding == "ordinal":
         cases = ", ".join(
             f"CASE WHEN idx_{c} = {len(values)} THEN -1.0D ELSE idx_{c} * 1.0D END AS ord_{c}" for c, values in zip(columns, labels)
@@ -117,10 +119,11 @@ def _estimator(candidate: Candidate, rows: int, bins: int):
     if candidate.family == "ridge":
         # The penalty of the usual objective is divided by the row count in Spark's.
         return LinearRegression(**common, regParam=params.get("alpha", 5.0) / max(rows, 1), elasticNetParam=0.0, standardization=False)
+    params["maxBins"] = max(params.get("maxBins", 32), bins)
     if candidate.family == "forest":
-        return RandomForestRegressor(**common, seed=S.SEED, maxBins=max(32, bins), cacheNodeIds=False, **params)
+        return RandomForestRegressor(**common, seed=S.SEED, **params)
     if candidate.family == "boosted":
-        return GBTRegressor(**common, seed=S.SEED, maxBins=max(32, bins), **params)
+        return GBTRegressor(**common, seed=S.SEED, **params)
     raise ValueError(f"unknown model family {candidate.family!r}")
 
 

@@ -170,6 +170,11 @@ class Domain:
     def history(self) -> DataFrame:
         return rolling_history(self.series)
 
+    @cached_property
+    def stored_quotes(self) -> DataFrame:
+        """The quote view once on disk: the feature plan reads it three times."""
+        return materialise(self.quotes)
+
     @cached_property
     def stored_history(self) -> DataFrame:
         """The history once on disk: every feature build reads it at least twice."""
@@ -177,11 +182,11 @@ class Domain:
 
     @cached_property
     def member_rows(self) -> DataFrame:
-        return member_rows(self.quotes, self.stored_history, self.dimension)
+        return member_rows(self.stored_quotes, self.stored_history, self.dimension)
 
     def features(self, *keep: str, quotes: DataFrame | None = None, include_target: bool = True) -> DataFrame:
         return feature_table(
-            self.quotes if quotes is None else quotes,
+            self.stored_quotes if quotes is None else quotes,
             self.series,
             self.dimension,
             registry=self.registry,
@@ -204,7 +209,7 @@ class Domain:
         Doubles are kept to nine places: sums added in another order then still give equal values,
         so ranks and distinct counts do not depend on the partitioning.
         """
-        frame = self.features("split", "segment", quotes=self.supervised)
+        frame = self.features("split", "segment", quotes=supervised(self.stored_quotes, self.split_years))
         doubles = [f.name for f in frame.schema.fields if f.dataType.typeName() == "double"]
         steady = {c: F.round(F.col(c) * 1.0000000000001, 9) for c in doubles}
         return materialise(frame.withColumns(steady).withColumn("target", F.col(S.TARGET)))
