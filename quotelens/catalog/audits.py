@@ -424,10 +424,13 @@ def eda_summary(d):
 # ---- set operations and ordering -----------------------------------------------------
 
 
-@query("set_difference", "SELECT trader_id FROM sup_v WHERE split = 'test' EXCEPT SELECT trader_id FROM sup_v WHERE split = 'train' AND segment = 'single'")
+@query(
+    "set_difference",
+    "SELECT trader_id, underlyings FROM sup_v WHERE split = 'test' EXCEPT SELECT trader_id, underlyings FROM sup_v WHERE split = 'train'",
+)
 def set_difference(d):
-    test = d.supervised.where("split = 'test'").select("trader_id")
-    return test.subtract(d.supervised.where("split = 'train' and segment = 'single'").select("trader_id"))
+    pair = ["trader_id", "underlyings"]
+    return d.supervised.where("split = 'test'").select(*pair).subtract(d.supervised.where("split = 'train'").select(*pair))
 
 
 @query(

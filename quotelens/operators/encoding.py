@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelens import schema as S
 from quotelens.operators.drift import long_text
+from quotelens.operators.ordered import positions
 
 MIN_CATEGORY_ROWS = 10
 INFREQUENT = "infrequent"
@@ -26,8 +27,8 @@ def vocabulary(train: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    order = Window.partitionBy("feature").orderBy("value")
-    return counts.withColumn("code", F.row_number().over(order) - 1)
+    # The first characters bucket the alphabet, so a long vocabulary is numbered in many tasks.
+    return positions(counts, ["feature"], ["value"], F.substring("value", 1, 3), "code")
 
 
 def most_frequent(vocab: DataFrame) -> DataFrame:

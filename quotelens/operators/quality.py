@@ -75,24 +75,50 @@ def duplicate_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
+def _maturity() -> Column:
+    return fn.month_diff(F.col("start_date"), F.col("end_date"))
+
+
+def row_breaks() -> dict[str, Column]:
+    """Cross-column conditions that break a quote row."""
+    members = fn.parse_basket(F.col("underlyings"))
+    size = F.size(members)
+    single, worst_of = F.col("basket_type") == "single", F.col("basket_type") == "worst_of"
+    return {
+        "date_order": F.col("end_date") <= F.col("start_date"),
+        "start_after_request": F.col("start_date") < F.col("requested_date"),
+        "no_call_within_maturity": F.col("no_call_period_months") > _maturity(),
+        "target_iff_executed": F.col(S.TARGET).isNotNull() != F.coalesce(F.col("executed"), F.lit(False)),
+        "duplicate_members": size != F.size(F.array_distinct(members)),
+        "size": (single & (size != 1)) | (worst_of & (size < 2)),
+    }
+
+
 def date_order(quotes: DataFrame) -> DataFrame:
-    return quotes.where("end_date <= start_date").select(S.ID, "start_date", "end_date")
+    return quotes.where(row_breaks()["date_order"]).select(S.ID, "start_date", "end_date")
 
 
 def start_after_request(quotes: DataFrame) -> DataFrame:
-    return quotes.where("start_date < requested_date").select(S.ID, "requested_date", "start_date")
+    return quotes.where(row_breaks()["start_after_request"]).select(S.ID, "requested_date", "start_date")
 
 
 def no_call_within_maturity(quotes: DataFrame) -> DataFrame:
-    maturity = fn.month_diff(F.col("start_date"), F.col("end_date"))
-    return quotes.where(F.col("no_call_period_months") > maturity).select(
-        S.ID, "no_call_period_months", maturity.alias("maturity_months")
+    return quotes.where(row_breaks()["no_call_within_maturity"]).select(
+        S.ID, "no_call_period_months", _maturity().alias("maturity_months")
     )
 
 
 def target_iff_executed(quotes: DataFrame) -> DataFrame:
-    known = F.col(S.TARGET).isNotNull()
-    return quotes.where(known != F.coalesce(F.col("executed"), F.lit(False))).select(S.ID, "executed", S.TARGET)
+    return quotes.where(row_breaks()["target_iff_executed"]).select(S.ID, "executed", S.TARGET)
+
+
+def basket_duplicates(quotes: DataFrame) -> DataFrame:
+    return quotes.where(row_breaks()["duplicate_members"]).select(S.ID, "underlyings")
+
+
+def basket_size(quotes: DataFrame) -> DataFrame:
+    members = F.size(fn.parse_basket(F.col("underlyings")))
+    return quotes.where(row_breaks()["size"]).select(S.ID, "basket_type", members.alias("members"))
 
 
 def frequency_vocabulary(quotes: DataFrame) -> DataFrame:
@@ -132,19 +158,6 @@ def unknown_members(quotes: DataFrame, dimension: DataFrame) -> DataFrame:
     return mentions.join(dimension.select("underlying"), "underlying", "left_anti")
 
 
-def basket_duplicates(quotes: DataFrame) -> DataFrame:
-    members = fn.parse_basket(F.col("underlyings"))
-    return quotes.where(F.size(members) != F.size(F.array_distinct(members))).select(S.ID, "underlyings")
-
-
-def basket_size(quotes: DataFrame) -> DataFrame:
-    size = F.size(fn.parse_basket(F.col("underlyings")))
-    single, worst_of = F.col("basket_type") == "single", F.col("basket_type") == "worst_of"
-    return quotes.where((single & (size != 1)) | (worst_of & (size < 2))).select(
-        S.ID, "basket_type", size.alias("members")
-    )
-
-
 def history_coverage(quotes: DataFrame, series: DataFrame) -> DataFrame:
     """Quotes with a member that has no series row on or before the request date."""
     first = series.groupBy("underlying").agg(F.min("date").alias("_first"))
@@ -160,30 +173,57 @@ def history_coverage(quotes: DataFrame, series: DataFrame) -> DataFrame:
 def validate_all(
     quotes: DataFrame, series: DataFrame, dimension: DataFrame, *, fail_fast: bool = False
 ) -> DataFrame:
-    """(step, table, rule, violations) in the order in which the rules are meant to be read."""
-    def summed(step: int, table: str, rule: str, frame: DataFrame) -> DataFrame:
-        total = frame.agg(F.count(F.lit(1)).alias("violations"))
+    """(step, table, rule, violations) in the order in which the rules are meant to be read.
+
+    All conditions that need only one quote row are counted in one scan of the quotes.
+    """
+    rules, breaks = quote_rules(), row_breaks()
+    row_rules = {
+        "schema": (1, "quotes", sum((F.count_if(~ok) for ok in rules.values()), start=F.lit(0))),
+        **{
+            name: (step, table, F.count_if(breaks[name]))
+            for name, step, table in (
+                ("date_order", 3, "quotes"),
+                ("start_after_request", 4, "quotes"),
+                ("no_call_within_maturity", 5, "quotes"),
+                ("target_iff_executed", 6, "quotes"),
+                ("duplicate_members", 13, "baskets"),
+                ("size", 14, "baskets"),
+            )
+        },
+    }
+    counted = quotes.agg(*[count.alias(name) for name, (_, _, count) in row_rules.items()])
+    one_scan = counted.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(step).alias("step"), F.lit(table).alias("table"), F.lit(name).alias("rule"), F.col(name).alias("violations")
+                    )
+                    for name, (step, table, _) in row_rules.items()
+                ]
+            )
+        ).alias("_r")
+    ).select("_r.*")
+
+    def labelled(step: int, table: str, rule: str, total: DataFrame) -> DataFrame:
         return total.select(F.lit(step).alias("step"), F.lit(table).alias("table"), F.lit(rule).alias("rule"), "violations")
 
+    def summed(step: int, table: str, rule: str, frame: DataFrame) -> DataFrame:
+        return labelled(step, table, rule, frame.agg(F.count(F.lit(1)).alias("violations")))
+
     def schema(step: int, table: str, frame: DataFrame) -> DataFrame:
-        total = frame.agg(F.sum("violations").alias("violations"))
-        return total.select(F.lit(step).alias("step"), F.lit(table).alias("table"), F.lit("schema").alias("rule"), "violations")
+        return labelled(step, table, "schema", frame.agg(F.sum("violations").alias("violations")))
 
     steps = [
-        schema(1, "quotes", count_violations(quotes, quote_rules())),
+        one_scan,
         summed(2, "quotes", "unique_id", duplicate_keys(quotes, [S.ID])),
-        summed(3, "quotes", "date_order", date_order(quotes)),
-        summed(4, "quotes", "start_after_request", start_after_request(quotes)),
-        summed(5, "quotes", "no_call_within_maturity", no_call_within_maturity(quotes)),
-        summed(6, "quotes", "target_iff_executed", target_iff_executed(quotes)),
         summed(7, "quotes", "frequency_vocabulary", frequency_vocabulary(quotes)),
         schema(8, "series", count_violations(series, series_rules())),
         summed(9, "series", "unique_key", duplicate_keys(series, ["underlying", "date"])),
         summed(10, "series", "gap", series_gaps(series).where("too_long")),
         schema(11, "dimension", dimension_report(dimension)),
         summed(12, "baskets", "membership", unknown_members(quotes, dimension)),
-        summed(13, "baskets", "duplicate_members", basket_duplicates(quotes)),
-        summed(14, "baskets", "size", basket_size(quotes)),
         summed(15, "baskets", "history_coverage", history_coverage(quotes, series)),
     ]
     report = reduce(DataFrame.unionByName, steps)

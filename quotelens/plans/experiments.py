@@ -208,7 +208,7 @@ def permutation_importance(
 
     def ordered(salt: str) -> DataFrame:
         keyed = base.withColumn("_digest", F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), F.col(S.ID).cast("string"))))
-        return positions(keyed, [], ["_digest", S.ID], F.substring("_digest", 1, 2), "_place").drop("_digest")
+        return positions(keyed, [], ["_digest", S.ID], F.substring("_digest", 1, 4), "_place").drop("_digest")
 
     own = ordered("own")
     shuffled = []
