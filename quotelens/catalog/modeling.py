@@ -12,6 +12,7 @@ from quotelens.catalog.statistics import _signal_sql  # noqa: F401  (keeps the s
 from quotelens.operators import baselines, encoding, metrics, scoring, selection
 from quotelens.plans import experiments
 from quotelens.plans.models import Candidate
+from quotelens.session import materialise
 from quotelens.sources import sinks
 
 cte(
@@ -360,7 +361,8 @@ cte(
 def _paired(d):
     first, second = _pred(d, BEST), _pred(d, "median_by_product_basket")
     blocks = d.contract_frame.select("rfq_id", "block")
-    return selection.paired_errors(first, second).join(blocks, "rfq_id")
+    # Stored: a bootstrap reads the pairs for the replicates and again for the point estimate.
+    return materialise(selection.paired_errors(first, second).join(blocks, "rfq_id"))
 
 
 @query("paired_errors", f"SELECT rfq_id, block, {rs('error_global', 'error_segmented')} FROM paired_v")
