@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, sharding, tokencount, warc
+from . import decontam, packing, sharding, tokencount, warc
 
 QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op6_warc": warc.op6_warc,
+    "op7_packing": packing.op7_packing,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
 }
