@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, sharding, tokencount, warc
+from . import decontam, packing, quality, sharding, tokencount, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_decontamination": decontam.op3_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_packing": packing.op7_packing,
