@@ -23,7 +23,8 @@ from .common import ascii_words, read
 WINDOW = 10
 #: Benchmark bytes in one automaton (about 100 MB of nodes); a larger benchmark is scanned for in several.
 BLOCK_BYTES = 2 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of a text as it stands; capitals count as their lower case.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 HITS = "n_words long, words array<int>, items array<string>, spans array<struct<start:int,end:int>>"
 
 #: The automaton this Python worker has built, by a name made on the driver.
@@ -156,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def _n_words(text: str):
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD.pattern)), F.lit(0)).cast("long")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

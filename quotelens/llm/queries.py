@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, quality, sharding, tokencount, warc
+from . import decontam, packing, pii, quality, sharding, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_pii": pii.op2_pii,
     "op3_decontamination": decontam.op3_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_packing": packing.op7_packing,
