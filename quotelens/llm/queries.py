@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, packing, pii, quality, sharding, tokencount, warc
+from . import decontam, neardup, neighbours, packing, pii, quality, sharding, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_warc": warc.op6_warc,
     "op7_packing": packing.op7_packing,
+    "op8_neighbours": neighbours.op8_neighbours,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
 }
