@@ -80,6 +80,14 @@ class Fingerprints:
         with np.errstate(over="ignore"):
             np.cumsum(values[data] * powers(self.BASE, n), out=self.sums[1:])
 
+    def rolling(self, width: int) -> np.ndarray:
+        """Fingerprints of all spans of one width, in order of their starts."""
+        n = len(self.sums) - width
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            return mix((self.sums[width:] - self.sums[:n]) * self.back[:n] + np.uint64(width) * np.uint64(0xD6E8FEB86659FD93))
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             raw = (self.sums[end] - self.sums[start]) * self.back[start]

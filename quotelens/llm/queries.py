@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, neighbours, packing, pii, quality, sharding, tokencount, warc
+from . import decontam, neardup, neighbours, packing, pii, quality, sharding, substrings, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_pii": pii.op2_pii,
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_repeated_substrings": substrings.op4_repeated_substrings,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_warc": warc.op6_warc,
     "op7_packing": packing.op7_packing,
