@@ -156,6 +156,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     )
 
 
+def _clean(shared, window: int, at: int):
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = build(shared.value, window)
+        numbers, automaton = _BUILT[name]
+        for batch in batches:
+            yield batch.filter(pa.array([not scan(t.as_py(), numbers, automaton)[1] for t in batch.column(at)], pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs``, all columns, that hold no benchmark window: a filter where documents are read, once per block."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+    n = max(1, -(-items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block_bytes))
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    at = docs.columns.index("text")
+    for k in range(n):
+        shared = spark.sparkContext.broadcast([tuple(r) for r in items.where(block == k).collect()])
+        docs = docs.mapInArrow(_clean(shared, window, at), docs.schema)
+    return docs
+
+
 def _n_words(text: str):
     return F.coalesce(F.regexp_count(text, F.lit(WORD.pattern)), F.lit(0)).cast("long")
 

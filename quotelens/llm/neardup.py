@@ -267,6 +267,21 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     )
 
 
+def keep_one_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Rows of ``docs``, all columns, without the documents whose class has a smaller doc_id, and once per doc_id.
+
+    Rows without doc_id, and texts without words, stay.
+    """
+    classes = stored(near_duplicates(docs, threshold))
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.isEmpty():
+        once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+        kept = kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("row.*"))
+    return kept.select(*docs.columns)
+
+
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.withColumn("representative", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
