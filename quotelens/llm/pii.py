@@ -32,7 +32,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -][0-9]", "phone": r"\+[0-9]"}
-PART = "0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 LOOSE = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)++"
     r"|(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])"

@@ -58,8 +58,10 @@ class Network:
         for a, b in slices([len(t) for t in texts], STRETCH):
             if len(texts[a]) > STRETCH:
                 for at in range(0, len(texts[a]), STRETCH):
-                    data, _ = laid_out([texts[a][at : at + STRETCH + STEP]])
-                    np.maximum(out[a], self.respond(data).max(0), out=out[a])
+                    responses = self.respond(laid_out([texts[a][at : at + STRETCH + STEP]])[0])
+                    # Only the last stretch ends in an empty step; the others' last step begins the next stretch.
+                    whole = responses if at + STRETCH >= len(texts[a]) else responses[:-1]
+                    np.maximum(out[a], whole.max(0), out=out[a])
             else:
                 data, starts = laid_out(texts[a:b])
                 responses = self.respond(data)

@@ -107,8 +107,11 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write every shard as a folder ``shard=<bits>`` of parquet files; shards are at most ``limit`` bytes of text."""
-    assigned = assign_shards(docs, **options)
+    """Write every shard as a folder ``shard=bits-<bits>`` of parquet files, of at most ``limit`` bytes of text.
+
+    The word before the bits keeps readers from taking them for a number.
+    """
+    assigned = assign_shards(docs, **options).withColumn("shard", F.concat(F.lit("bits-"), "shard"))
     assigned.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
