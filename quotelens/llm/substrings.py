@@ -37,10 +37,10 @@ from .common import Fingerprints, byte_values, mix, read, scratch_folder, slices
 
 LENGTH = 200
 TRIGGER, MODULUS = 12, 24
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 MAX_TABLE_BUCKETS = 10_000
-STRETCH, MARGIN = 4 << 20, 4096
+STRETCH, MARGIN = 2 << 20, 4096
 _FIRST, _SECOND = byte_values(21), byte_values(22)
 LISTS = StructType([StructField("bucket", LongType()), StructField("chunk", LongType()), StructField("level", IntegerType()), StructField("entries", BinaryType())])
 MARKS = StructType([*LISTS.fields[:3], StructField("shared", BinaryType()), StructField("elected", BinaryType())])
@@ -90,7 +90,8 @@ class Parse:
         ends = np.array([d[3] for d in stretch.docs])
         starts = np.array([d[2] for d in stretch.docs])
         sizes = ends - starts
-        self.doc_end = np.repeat(ends, sizes)
+        # Places fit 32 bits, as a stretch is bounded; fingerprints are what takes the memory.
+        self.doc_end = np.repeat(ends, sizes).astype(np.int32)
         fits = np.ones(n + 1, bool)
         # A trigger's window [t - TRIGGER, t) must not reach over a document's start.
         for k in range(TRIGGER):
@@ -100,11 +101,11 @@ class Parse:
         hit[TRIGGER:] = rolled % np.uint64(MODULUS) == 0
         hit &= fits
         self.at = np.flatnonzero(hit)
-        until = np.cumsum(hit)
+        until = np.cumsum(hit, dtype=np.int32)
         owner = np.searchsorted(ends, self.at, "left")
         self.joined = owner[1:] == owner[:-1]
         # Strings of this stretch, their first trigger inside and their last.
-        span = np.arange(stretch.low, min(stretch.high, max(0, n - length + 1)))
+        span = np.arange(stretch.low, min(stretch.high, max(0, n - length + 1)), dtype=np.int32)
         self.strings = span[span + length <= self.doc_end[span]] if len(span) else span
         self.inside = until[self.strings + TRIGGER - 1] if len(self.strings) else span
         self.last = until[self.strings + length] - 1 if len(self.strings) else span
