@@ -1,7 +1,7 @@
 """Learners on the stored feature table: checked by invariants in the tests, not by SQL.
 
-The grids are short and the ensembles small, because a fit is many Spark jobs; the plans are those
-of the full grids in ``plans.models``.
+Ensembles have their full size. The boosted candidates are fitted by ``model_boosted`` alone, as one
+fit is thousands of small Spark jobs; ``plans.models.default_candidates`` is the whole grid.
 """
 
 from dataclasses import replace
@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from quotelens import schema as S
 from quotelens.catalog.base import query
-from quotelens.operators import scoring, selection
+from quotelens.operators import scoring
+from quotelens.operators.encoding import fit_encoder
+from quotelens.operators.quality import request_contract
 from quotelens.plans import experiments, serving
-from quotelens.plans.models import Candidate, fit, predictions, stable_candidates
+from quotelens.plans.models import SEGMENT_BLOCKS, Candidate, default_candidates, fit, predictions, stable_candidates
 
 RIDGE = Candidate("ridge_onehot", "ridge", "compact_core", "onehot", {"alpha": 5.0})
 RIDGE_ORDINAL = Candidate("ridge_ordinal", "ridge", "all_without_commercial", "ordinal", {"alpha": 5.0})
-FOREST = Candidate("forest_onehot", "forest", "compact_core", "onehot", {"numTrees": 10, "minInstancesPerNode": 8, "featureSubsetStrategy": "0.8"})
-BOOSTED = Candidate("boosted_native__compact_core", "boosted", "compact_core", "native", {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3, "lossType": "absolute"})
+FOREST = Candidate("forest_onehot", "forest", "compact_core", "onehot", {"numTrees": 200, "minInstancesPerNode": 8, "featureSubsetStrategy": "0.8"})
+BOOSTED = Candidate("boosted_native__compact_core", "boosted", "compact_core", "native", {"maxIter": 350, "maxDepth": 6, "stepSize": 0.05, "lossType": "absolute"})
+BOOSTED_SQUARED = Candidate("boosted_squared__compact_core", "boosted", "compact_core", "ordinal", {"maxIter": 250, "maxDepth": 5, "stepSize": 0.05, "lossType": "squared"})
 MEAN = Candidate("global_mean", "constant", params={"strategy": "mean"})
 MEDIAN = Candidate("median_by_product_frequency_maturity", "group_median", keys=S.BASELINE_KEYS["median_by_product_frequency_maturity"])
 _SHORT = ["model_name", "estimator_class", "feature_block", "encoding_strategy", "validation_mae", "validation_rmse", "validation_r2", "validation_rows", "n_total_features"]
@@ -43,7 +46,8 @@ def model_forest(d):
 
 @query("model_boosted")
 def model_boosted(d):
-    return _holdout_predictions(d, BOOSTED)
+    """Both losses, by model name."""
+    return _holdout_predictions(d, BOOSTED).unionByName(_holdout_predictions(d, BOOSTED_SQUARED))
 
 
 @query("prep_impute_scale")
@@ -52,48 +56,51 @@ def prep_impute_scale(d):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    from quotelens.plans.models import build_pipeline
+    from quotelens.plans.models import number_stages
 
     frame = d.model_frame
-    stages = build_pipeline(RIDGE, frame.where("split = 'train'"), d.registry).getStages()
-    model = Pipeline(stages=stages[:4]).fit(frame.where("split = 'train'"))
+    numeric, _ = d.registry.select_block("compact_core")
+    model = Pipeline(stages=number_stages(numeric, True)).fit(frame.where("split = 'train'"))
     return model.transform(frame).select("rfq_id", "split", vector_to_array("scaled").alias("scaled"))
 
 
 @query("prep_native_cat")
 def prep_native_cat(d):
-    """Category indices of the native encoding, with one extra index for unknown values."""
-    from pyspark.ml import Pipeline
-
-    from quotelens.plans.models import _category_stages
-
+    """Codes of the native encoding: every training value, ordered by its mean target."""
     frame = d.model_frame
     _, categorical = d.registry.select_block("compact_core")
-    stages, outputs, _ = _category_stages(frame.where("split = 'train'"), categorical, "native")
-    return Pipeline(stages=stages).fit(frame).transform(frame).select("rfq_id", *outputs)
+    encoder = fit_encoder(frame.where("split = 'train'"), categorical, "native", "target")
+    return encoder.encode(frame).select("rfq_id", *encoder.outputs)
 
 
 @query("benchmark_holdout")
 def benchmark_holdout(d):
-    table, _ = experiments.holdout(d.model_frame, [MEAN, MEDIAN, RIDGE, BOOSTED], d.registry)
+    """Every baseline of the standing grid, both linear encodings and the forest."""
+    baselines = [c for c in default_candidates() if c.family in ("constant", "group_median")]
+    table, _ = experiments.holdout(d.model_frame, [*baselines, RIDGE, RIDGE_ORDINAL, FOREST], d.registry)
     return table.select(*_SHORT)
 
 
 @query("benchmark_rolling")
 def benchmark_rolling(d):
-    return experiments.rolling(d.model_frame.where("split <> 'test'"), [RIDGE], d.registry, d.split_years).select("validation_year", *_SHORT)
+    grid = [MEAN, MEDIAN, RIDGE, RIDGE_ORDINAL]
+    return experiments.rolling(d.model_frame.where("split <> 'test'"), grid, d.registry, d.split_years).select("validation_year", *_SHORT)
+
+
+def _segment_grids(blocks):
+    return {s: [replace(RIDGE, name=f"ridge__{b}", block=b) for b in names] for s, names in blocks.items()}
 
 
 @query("benchmark_segmented")
 def benchmark_segmented(d):
-    grids = {"single": [replace(RIDGE, name="ridge__single_stable", block="single_stable")], "worst_of": [replace(RIDGE, name="ridge__worst_of_tail_focus", block="worst_of_tail_focus")]}
-    table, _ = experiments.segmented(d.model_frame, grids, d.registry)
+    """Every block of each segment."""
+    table, _ = experiments.segmented(d.model_frame, _segment_grids(SEGMENT_BLOCKS), d.registry)
     return table.select("segment", "train_rows", *_SHORT)
 
 
 @query("benchmark_segmented_rolling")
 def benchmark_segmented_rolling(d):
-    grids = {"single": [replace(RIDGE, block="single_stable")], "worst_of": [replace(RIDGE, block="compact_core")]}
+    grids = _segment_grids({"single": ["single_core", "single_stable"], "worst_of": ["worst_of_core", "worst_of_stable"]})
     table = experiments.segmented_rolling(d.model_frame.where("split <> 'test'"), grids, d.registry, d.split_years)
     return table.select("segment", "validation_year", *_SHORT)
 
@@ -106,25 +113,22 @@ def benchmark_stable(d):
 
 @query("tune")
 def tune(d):
-    spaces = {
-        "ridge": experiments.SEARCH_SPACES["ridge"],
-        "boosted": {**experiments.SEARCH_SPACES["boosted"], "maxIter": (2, 4, "int"), "maxDepth": (2, 4, "int")},
-    }
-    return experiments.tune(d.model_frame, [RIDGE, BOOSTED], d.registry, trials=2, spaces=spaces).select("base_model_name", "trial", "params", *_SHORT)
+    """Five trials for each linear candidate over its whole declared range."""
+    return experiments.tune(d.model_frame, [RIDGE, RIDGE_ORDINAL], d.registry, trials=5).select("base_model_name", "trial", "params", *_SHORT)
 
 
 @query("permutation_importance")
 def permutation_importance(d):
     frame = d.model_frame
     fitted = fit(RIDGE, frame.where("split <> 'test'"), d.registry)
-    return experiments.permutation_importance(fitted, frame.where("split = 'test'"), d.registry, repeats=2)
+    return experiments.permutation_importance(fitted, frame.where("split = 'test'"), d.registry)
 
 
 @query("attribution")
 def attribution(d):
     frame = d.model_frame
     fitted = fit(RIDGE, frame.where("split = 'train'"), d.registry)
-    return experiments.attribution(fitted, frame.where("split = 'validation'"), frame.where("split = 'train'"), d.registry, permutations=2)
+    return experiments.attribution(fitted, frame.where("split = 'validation'"), frame.where("split = 'train'"), d.registry)
 
 
 @query("evaluate_strategy")
@@ -158,23 +162,50 @@ def evaluate_saved(d):
     return serving.evaluate_saved(d.spark, path, frame)
 
 
+def _requests(d):
+    """Quotes as requests through the contract, some with an unknown member, some asked for long after their history."""
+    asked = F.col("requested_date")
+    late = F.when(asked >= F.lit("2001-05-01").cast("date"), F.date_add(asked, 400)).otherwise(asked)
+    named = F.when(F.month(asked) == 5, F.concat("underlyings", F.lit("|ZZZ"))).otherwise(F.col("underlyings"))
+    rows = d.quotes.withColumns({"requested_date": late, "underlyings": named, "request_ord": F.col("rfq_id")})
+    return request_contract(rows.select("request_ord", *[f.name for f in S.REQUEST.fields]))
+
+
+_LATE = "CASE WHEN requested_date >= DATE '2001-05-01' THEN requested_date + 400 ELSE requested_date END"
+
+
+@query(
+    "score_refusals",
+    f"""SELECT q.rfq_id AS request_ord, concat_ws(',', CASE WHEN {_LATE} > q.start_date THEN 'requested_after_start' END, CASE WHEN month(q.requested_date) = 5 AND q.basket_type = 'single' THEN 'basket_size' END,
+ CASE WHEN a.unknown_members > 0 THEN 'unknown_member' END, CASE WHEN q.product_type NOT IN (SELECT product_type FROM sup_v WHERE avg_duration_months > 55) THEN 'unknown_product' END,
+ CASE WHEN a.members_without_history > 0 THEN 'no_history' END, CASE WHEN a.max_market_data_age_days > 10 THEN 'stale_history' END) AS reasons,
+ a.market_data_as_of, a.max_market_data_age_days FROM quotes_v q LEFT JOIN req_age_v a ON a.rfq_id = q.rfq_id""",
+)
+def score_refusals(d):
+    """Which requests batch scoring refuses and why, with the dates its answer would rest on."""
+    fitted = fit(MEAN, d.contract_frame.where("split = 'train'"), d.registry)
+    products = d.supervised.where("avg_duration_months > 55").select("product_type").distinct()
+    ranges = scoring.request_ranges(d.development, d.series)
+    rules = scoring.ServingRules(radius=5.0, clipping=True)
+    done = serving.score_batch(_requests(d), d.series, d.dimension, fitted, rules, ranges, d.registry, products=products, history=d.stored_history)
+    return done.select("request_ord", F.array_join("reasons", ",").alias("reasons"), "market_data_as_of", "max_market_data_age_days")
+
+
 @query("score_batch")
 def score_batch(d):
-    """Every quote scored as a request by a model fitted, calibrated and clipped on earlier years."""
+    """Requests answered or refused by a model fitted, calibrated and clipped on earlier years."""
     frame = d.model_frame
     calibration, clip = serving.calibrate(frame, RIDGE, d.registry)
     rules = serving.serving_rules(calibration, clip, RIDGE)
     fitted, _, _ = serving.train_final(frame, RIDGE, d.registry)
     ranges = scoring.request_ranges(d.development, d.series)
-    requests = d.quotes.withColumn("request_ord", F.col("rfq_id"))
-    scored = serving.score_batch(requests, d.series, d.dimension, fitted, rules, ranges, d.registry, history=d.stored_history)
-    return scored.withColumn("warnings", F.array_join("warnings", "; "))
+    scored = serving.score_batch(_requests(d), d.series, d.dimension, fitted, rules, ranges, d.registry, history=d.stored_history)
+    return scored.withColumns({"warnings": F.array_join("warnings", "; "), "reasons": F.array_join("reasons", ",")})
 
 
 @query("read_requests")
 def read_requests(d):
     """Quotes written as a request CSV and read back through the declared request schema."""
-    from quotelens.operators.quality import request_contract
     from quotelens.session import scratch_folder
     from quotelens.sources import readers, sinks
 

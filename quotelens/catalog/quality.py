@@ -7,6 +7,7 @@ from quotelens import functions as fn
 from quotelens import schema as S
 from quotelens.catalog.base import basket_sql, cte, freq_sql, query, r, rs
 from quotelens.operators import audit, quality
+from quotelens.session import scratch_folder
 from quotelens.sources import readers, sinks
 
 # ---- sources -------------------------------------------------------------------------
@@ -45,6 +46,14 @@ def raw_quotes(d):
     return d.quotes.select(*[c.alias(n) for n, c in text.items()])
 
 
+def as_csv(raw, first):
+    """Write text columns as CSV, some moved to the front and one that no schema knows, and return the path."""
+    path = f"{scratch_folder(raw.sparkSession)}/csv"
+    rest = [c for c in raw.columns if c not in first]
+    raw.select(*first, F.lit("x").alias("another_column"), *rest).write.csv(path, header=True)
+    return path
+
+
 BOOL_SQL = "CASE WHEN lower(trim(executed)) IN ('true','1','yes','y','si','sí') THEN true WHEN lower(trim(executed)) IN ('false','0','no','n') THEN false END"
 
 
@@ -58,7 +67,8 @@ BOOL_SQL = "CASE WHEN lower(trim(executed)) IN ('true','1','yes','y','si','sí')
  {r('TRY_CAST(avg_duration_months AS DOUBLE)')} AS avg_duration_months FROM raw_quotes_v""",
 )
 def read_quotes(d):
-    return readers.apply_schema(raw_quotes(d), S.QUOTES)
+    path = as_csv(raw_quotes(d), ["executed", "rfq_id", "product_type", "basket_type", "trader_id"])
+    return readers.read_quotes(d.spark, path, strict=False)
 
 
 @query("read_series", f"SELECT CASE WHEN day(date) = 9 THEN NULL ELSE date END AS date, underlying, {r('realized_vol_63d')} AS realized_vol_63d FROM series_v")
@@ -68,13 +78,13 @@ def read_series(d):
         "underlying",
         F.col("realized_vol_63d").cast("string").alias("realized_vol_63d"),
     )
-    return readers.apply_schema(raw, S.SERIES)
+    return readers.read_series(d.spark, as_csv(raw, ["realized_vol_63d", "date"]))
 
 
 @query("read_dimension", f"SELECT underlying, sector, {r('structural_base_vol')} AS structural_base_vol FROM dimension_v")
 def read_dimension(d):
     raw = d.dimension.select(*[F.col(c).cast("string").alias(c) for c in d.dimension.columns])
-    return readers.apply_schema(raw, S.DIMENSION)
+    return readers.read_dimension(d.spark, as_csv(raw, ["sector"]))
 
 
 @query("parse_boolean", f"SELECT rfq_id, executed AS raw, {BOOL_SQL} AS executed, {BOOL_SQL} IS NULL AS refused FROM raw_quotes_v")

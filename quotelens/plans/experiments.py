@@ -237,7 +237,7 @@ def attribution(
     registry: S.FeatureRegistry,
     *,
     max_rows: int = 1000,
-    background_rows: int = 100,
+    background_rows: int | None = None,
     permutations: int = 8,
     seed: int = S.SEED,
 ) -> DataFrame:
@@ -245,14 +245,20 @@ def attribution(
 
     For each sampled row and permutation, features switch one by one from a background row to the
     row itself, and each switch is credited with the change of the prediction.  All steps of all
-    rows are scored in one plan.  The row sample is the operator's own parameter.
+    rows are scored in one plan.  The row sample is the operator's own parameter; background rows
+    are drawn from the whole background unless ``background_rows`` names a number.
     """
     numeric, categorical = registry.select_block(fitted.candidate.block)
     features = [*numeric, *categorical]
     sample = seeded_sample(rows.select(S.ID, LABEL, *features), max_rows, seed)
-    pool = seeded_sample(background.select(S.ID, *features), background_rows, seed + 1)
-    # Numbering at most ``background_rows`` rows.
-    numbered = positions(pool, [], [S.ID], F.lit(0), "_slot").select("_slot", *[F.col(c).alias(f"b_{c}") for c in features])
+    pool = background.select(S.ID, *features)
+    if background_rows is not None:
+        pool = seeded_sample(pool, background_rows, seed + 1)
+    # A digest order spreads the numbering of a whole background over many tasks.
+    pool = pool.withColumn("_digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(S.ID).cast("string"))))
+    numbered = positions(pool, [], ["_digest", S.ID], F.substring("_digest", 1, 4), "_slot").select(
+        "_slot", *[F.col(c).alias(f"b_{c}") for c in features]
+    )
     size = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
     key = F.col(S.ID).cast("string")
     order = F.transform(

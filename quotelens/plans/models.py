@@ -8,19 +8,18 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens import schema as S
 from quotelens.operators import baselines
-from quotelens.operators.encoding import MIN_CATEGORY_ROWS, vocabulary
+from quotelens.operators.encoding import CategoryEncoder, fit_encoder
 from quotelens.operators.metrics import regression_metrics
+from quotelens.operators.ordered import exact_quantiles, null_safe_join
+from quotelens.session import materialise, scratch_folder
 
-# Labels kept per categorical column; the rest share the pooled category.  It bounds what a fitted
-# pipeline stores, and trees need one bin per label.
-MAX_LABELS = {"onehot": 500, "ordinal": 5000, "native": 250}
 LABEL = "target"
 
 
@@ -73,53 +72,12 @@ def stable_candidates(base: Candidate, blocks: Sequence[str] = STABLE_BLOCKS) ->
     return [replace(base, name=f"{base.name.split('__')[0]}__{block}", block=block) for block in blocks]
 
 
-def fitted_labels(train: DataFrame, columns: Sequence[str], limit: int, min_rows: int) -> list[list[str]]:
-    """Alphabetical labels per column with enough training rows, the most frequent ``limit``.
-
-    The limit is applied on the cluster, so what reaches the driver is bounded by
-    ``limit`` times the number of columns.
-    """
-    frequent = Window.partitionBy("feature").orderBy(F.desc("n"), "value")
-    vocab = vocabulary(train, columns).where(F.col("n") >= min_rows)
-    kept = vocab.withColumn("_rn", F.row_number().over(frequent)).where(F.col("_rn") <= limit)
-    found = {
-        row["feature"]: row["labels"]
-        for row in kept.groupBy("feature").agg(F.array_sort(F.collect_list("value")).alias("labels")).collect()
-    }
-    return [found.get(column) or [S.UNKNOWN] for column in columns]
-
-
-def _category_stages(train: DataFrame, columns: Sequence[str], encoding: str):
-    """Stages and output columns for the categorical part, and the largest label count."""
-    if not columns:
-        return [], [], 0
-    min_rows = MIN_CATEGORY_ROWS if encoding == "onehot" else 1
-    labels = fitted_labels(train, columns, MAX_LABELS[encoding], min_rows)
-    indexed = [f"idx_{c}" for c in columns]
-    # "keep" sends rare, unknown and missing values to one extra index after the labels.
-    indexer = StringIndexerModel.from_arrays_of_labels(labels, inputCols=list(columns), outputCols=indexed, handleInvalid="keep")
-    largest = max(len(values) for values in labels)
-    if encoding == "onehot":
-        outputs = [f"hot_{c}" for c in columns]
-        # Plain numbers: the encoder then sizes itself from the data and keeps a slot for the rest.
-        plain = SQLTransformer(statement=f"SELECT *, {', '.join(f'idx_{c} * 1.0D AS code_{c}' for c in columns)} FROM __THIS__")
-        encoder = OneHotEncoder(inputCols=[f"code_{c}" for c in columns], outputCols=outputs, dropLast=False, handleInvalid="keep")
-        return [indexer, plain, encoder], outputs, largest
-    if encoding == "ordinal":
-        cases = ", ".join(
-            f"CASE WHEN idx_{c} = {len(values)} THEN -1.0D ELSE idx_{c} * 1.0D END AS ord_{c}" for c, values in zip(columns, labels)
-        )
-        return [indexer, SQLTransformer(statement=f"SELECT *, {cases} FROM __THIS__")], [f"ord_{c}" for c in columns], largest
-    return [indexer], indexed, largest
-
-
-def _estimator(candidate: Candidate, rows: int, bins: int):
+def _estimator(candidate: Candidate, rows: int):
     params = dict(candidate.params)
     common = {"featuresCol": "features", "labelCol": LABEL, "predictionCol": "prediction"}
     if candidate.family == "ridge":
         # The penalty of the usual objective is divided by the row count in Spark's.
         return LinearRegression(**common, regParam=params.get("alpha", 5.0) / max(rows, 1), elasticNetParam=0.0, standardization=False)
-    params["maxBins"] = max(params.get("maxBins", 32), bins)
     if candidate.family == "forest":
         return RandomForestRegressor(**common, seed=S.SEED, **params)
     if candidate.family == "boosted":
@@ -127,50 +85,79 @@ def _estimator(candidate: Candidate, rows: int, bins: int):
     raise ValueError(f"unknown model family {candidate.family!r}")
 
 
-def build_pipeline(candidate: Candidate, train: DataFrame, registry: S.FeatureRegistry) -> Pipeline:
-    """Imputed and scaled numbers, encoded categories, one learner; persistable as a whole."""
-    numeric, categorical = registry.select_block(candidate.block)
-    stages, category_outputs, largest = _category_stages(train, categorical, candidate.encoding)
+def number_stages(numeric: Sequence[str], scaled: bool) -> list:
+    """Median-imputed numbers as one vector, standardised for linear models."""
+    if not numeric:
+        return []
     doubles = ", ".join(f"CAST({c} AS DOUBLE) AS num_{c}" for c in numeric)
     imputed = [f"imp_{c}" for c in numeric]
-    number_stages = [
+    stages = [
         SQLTransformer(statement=f"SELECT *, {doubles} FROM __THIS__"),
-        Imputer(inputCols=[f"num_{c}" for c in numeric], outputCols=imputed, strategy="median"),
+        # An error of 0 makes the approximate median of the imputer the exact lower median.
+        Imputer(inputCols=[f"num_{c}" for c in numeric], outputCols=imputed, strategy="median", relativeError=0.0),
         VectorAssembler(inputCols=imputed, outputCol="numbers"),
-    ] if numeric else []
-    number_output = ["numbers"] if numeric else []
-    if numeric and candidate.family == "ridge":
-        number_stages.append(StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True))
-        number_output = ["scaled"]
-    assembler = VectorAssembler(inputCols=[*number_output, *category_outputs], outputCol="features")
-    rows = train.count() if candidate.family == "ridge" else 0
-    bins = largest + 1 if candidate.encoding == "native" else 0
-    return Pipeline(stages=[*number_stages, *stages, assembler, _estimator(candidate, rows, bins)])
+    ]
+    return [*stages, StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True)] if scaled else stages
+
+
+def build_pipeline(candidate: Candidate, train: DataFrame, registry: S.FeatureRegistry) -> Pipeline:
+    """Imputed numbers, the encoder's codes, one learner; ``train`` has been through the encoder."""
+    numeric, categorical = registry.select_block(candidate.block)
+    linear = candidate.family == "ridge"
+    stages = number_stages(numeric, linear)
+    inputs = [] if not numeric else ["scaled"] if linear else ["numbers"]
+    outputs = [f"code_{c}" for c in categorical]
+    if categorical and candidate.encoding == "onehot":
+        hot = [f"hot_{c}" for c in categorical]
+        stages.append(OneHotEncoder(inputCols=outputs, outputCols=hot, dropLast=False, handleInvalid="keep"))
+        outputs = hot
+    rows = train.count() if linear else 0
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*inputs, *outputs], outputCol="features"), _estimator(candidate, rows)])
 
 
 @dataclass
 class Fitted:
-    """A fitted candidate; ``predict`` adds ``prediction`` to rows that carry its features."""
+    """A fitted candidate, independent of its training rows; ``predict`` adds ``prediction`` to rows that carry its features.
+
+    Learners have an encoder and a pipeline; baselines have a stored table of group values (for
+    group medians) and the overall value.
+    """
 
     candidate: Candidate
-    train: DataFrame
+    spark: SparkSession
     model: PipelineModel | None = None
+    encoder: CategoryEncoder | None = None
+    groups: DataFrame | None = None
+    overall: float | None = None
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        kind = self.candidate.family
-        if kind == "constant":
-            return baselines.constant(self.train, rows, self.candidate.params["strategy"], LABEL)
-        if kind == "group_median":
-            return baselines.group_median(self.train, rows, self.candidate.keys, LABEL)
-        kept = self.model.transform(rows)
-        return kept.select(*rows.columns, "prediction")
+        if self.model is None:
+            overall = F.lit(self.overall).cast("double")
+            if self.groups is None:
+                return rows.withColumn("prediction", overall)
+            scored = null_safe_join(rows, self.groups, list(self.candidate.keys), "left")
+            return scored.withColumn("prediction", F.coalesce("_median", overall)).drop("_median")
+        coded = self.encoder.encode(rows) if self.encoder else rows
+        return self.model.transform(coded).select(*rows.columns, "prediction")
 
 
 def fit(candidate: Candidate, train: DataFrame, registry: S.FeatureRegistry) -> Fitted:
+    spark = train.sparkSession
     if candidate.family in ("constant", "group_median"):
-        return Fitted(candidate, train)
-    model = build_pipeline(candidate, train, registry).fit(train)
-    return Fitted(candidate, train, model)
+        strategy = candidate.params.get("strategy", "median")
+        overall = train.select(baselines.constant_value(train, strategy, LABEL).alias("value")).limit(1).head()
+        groups = None
+        if candidate.family == "group_median":
+            groups = materialise(exact_quantiles(train, list(candidate.keys), LABEL, {"_median": 0.5}))
+        return Fitted(candidate, spark, groups=groups, overall=overall["value"] if overall else None)
+    _, categorical = registry.select_block(candidate.block)
+    encoder = fit_encoder(train, categorical, candidate.encoding, LABEL) if categorical else None
+    coded = encoder.encode(train) if encoder else train
+    if candidate.family == "boosted":
+        # Boosting cuts its lineage every few iterations where it has a folder for it.
+        spark.sparkContext.setCheckpointDir(scratch_folder(spark))
+    model = build_pipeline(candidate, coded, registry).fit(coded)
+    return Fitted(candidate, spark, model, encoder)
 
 
 def predictions(fitted: Fitted, rows: DataFrame) -> DataFrame:

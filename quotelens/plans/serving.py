@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from quotelens import schema as S
 from quotelens.operators import metrics, scoring, selection
+from quotelens.operators.encoding import CategoryEncoder
 from quotelens.plans.features import feature_table
 from quotelens.plans.models import LABEL, Candidate, Fitted, fit, predictions
+from quotelens.session import materialise
 
 
 def calibrate(frame: DataFrame, candidate: Candidate, registry: S.FeatureRegistry) -> tuple[DataFrame, DataFrame]:
@@ -45,13 +47,17 @@ def train_final(frame: DataFrame, candidate: Candidate, registry: S.FeatureRegis
 def train_segmented(
     frame: DataFrame, candidates: Mapping[str, Candidate], registry: S.FeatureRegistry
 ) -> tuple[dict[str, Fitted], DataFrame]:
-    """One final model per segment and their test predictions."""
+    """One final model per segment and their test predictions; raises if a test row is left without one."""
     models, scored = {}, []
     for segment, candidate in candidates.items():
         part = frame.where(F.col("segment") == segment)
         models[segment] = fit(candidate, part.where("split <> 'test'"), registry)
         scored.append(predictions(models[segment], part.where("split = 'test'")).withColumn("segment", F.lit(segment)))
-    return models, reduce(DataFrame.unionByName, scored)
+    done = reduce(DataFrame.unionByName, scored)
+    missed = unscored_rows(done, frame.where("split = 'test'")).head()
+    if missed is not None:
+        raise ValueError(f"no model scores {S.ID} {missed[S.ID]}: every segment needs a candidate")
+    return models, done
 
 
 def unscored_rows(scored: DataFrame, expected: DataFrame) -> DataFrame:
@@ -61,22 +67,48 @@ def unscored_rows(scored: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def save_model(fitted: Fitted, path: str, rules: scoring.ServingRules) -> None:
-    """Pipeline and a one-row metadata table side by side."""
-    fitted.model.write().overwrite().save(f"{path}/pipeline")
-    spark = fitted.train.sparkSession
-    spark.createDataFrame([(json.dumps(vars(rules)),)], "metadata string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
-
-
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, scoring.ServingRules]:
-    metadata = spark.read.schema("metadata string").json(f"{path}/metadata").head()["metadata"]
-    return PipelineModel.load(f"{path}/pipeline"), scoring.ServingRules(**json.loads(metadata))
+    """Everything ``predict`` needs: pipeline, encoder table or group table, and one row of metadata."""
+    spark, encoder = fitted.spark, fitted.encoder
+    if fitted.model is not None:
+        fitted.model.write().overwrite().save(f"{path}/pipeline")
+    if encoder is not None:
+        encoder.table.write.mode("overwrite").parquet(f"{path}/encoder")
+    if fitted.groups is not None:
+        fitted.groups.write.mode("overwrite").parquet(f"{path}/groups")
+    about = {
+        "rules": vars(rules),
+        "candidate": vars(fitted.candidate),
+        "encoder": {"columns": encoder.columns, "encoding": encoder.encoding, "fillers": encoder.fillers} if encoder else None,
+        "has": {"model": fitted.model is not None, "groups": fitted.groups is not None},
+        "overall": fitted.overall,
+    }
+    spark.createDataFrame([(json.dumps(about),)], "metadata string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[Fitted, scoring.ServingRules]:
+    about = json.loads(spark.read.schema("metadata string").json(f"{path}/metadata").head()["metadata"])
+    candidate = Candidate(**{**about["candidate"], "keys": tuple(about["candidate"]["keys"])})
+    coding = about["encoder"]
+    encoder = coding and CategoryEncoder(tuple(coding["columns"]), coding["encoding"], spark.read.parquet(f"{path}/encoder"), coding["fillers"])
+    fitted = Fitted(
+        candidate,
+        spark,
+        PipelineModel.load(f"{path}/pipeline") if about["has"]["model"] else None,
+        encoder,
+        spark.read.parquet(f"{path}/groups") if about["has"]["groups"] else None,
+        about["overall"],
+    )
+    return fitted, scoring.ServingRules(**about["rules"])
 
 
 def evaluate_saved(spark: SparkSession, path: str, frame: DataFrame) -> DataFrame:
     """Unclipped test metrics of a saved model."""
-    model, _ = load_model(spark, path)
-    test = model.transform(frame.where("split = 'test'"))
-    return metrics.regression_metrics(test.select(F.col(LABEL).alias("actual"), "prediction"))
+    fitted, _ = load_model(spark, path)
+    return metrics.regression_metrics(predictions(fitted, frame.where("split = 'test'")))
+
+
+class RefusedError(ValueError):
+    """A batch with requests that must not be answered."""
 
 
 def score_batch(
@@ -88,28 +120,46 @@ def score_batch(
     ranges: DataFrame,
     registry: S.FeatureRegistry,
     *,
+    products: DataFrame | None = None,
     history: DataFrame | None = None,
     order: str = "request_ord",
+    atomic: bool = False,
 ) -> DataFrame:
-    """Score a whole batch in one plan: features, routing by segment, clipping, interval, flags.
+    """Answer the output of ``request_contract``: one row per request, keyed on ``request_ord``.
 
-    ``requests`` carry an ``rfq_id`` to join on and ``request_ord``; the output keeps that order
-    as a column, so a caller sorts only what it shows.
+    A request is refused, with its ``reasons`` and without any figures, when it breaks the contract,
+    names a member or product that is not known, has a member without history or with history that
+    is too old, or when no model serves its basket type. With ``atomic`` one refused request
+    refuses the batch. The rest go through features, routing, clipping, interval and range flags
+    in one plan. ``products`` lists the accepted product types (default: those of ``ranges``).
     """
+    if products is None:
+        products = ranges.select(F.explode("accepted_product_types").alias("product_type"))
+    # Features and history join on the quote id, which a request need not have: its number serves.
+    keyed = requests.withColumn(S.ID, F.col(order))
+    broken = keyed["reasons"] if "reasons" in requests.columns else F.array().cast("array<string>")
+    keyed = keyed.withColumn("_contract", broken).drop("reasons")
+    covered = scoring.coverage_check(keyed, series, dimension, products)
+    unrouted = F.lit(False) if not isinstance(models, Mapping) else ~F.coalesce(F.col("basket_type").isin(*models), F.lit(False))
+    reasons = F.array_compact(F.concat("_contract", "reasons", F.array(F.when(unrouted, F.lit("no_model")))))
+    judged = materialise(covered.withColumn("reasons", reasons).drop("_contract"))
+    if atomic:
+        bad = judged.where(F.size("reasons") > 0).orderBy(order).head()
+        if bad is not None:
+            raise RefusedError(f"request {bad[order]} refused: {bad['reasons']}")
+    accepted = judged.where(F.size("reasons") == 0)
     features = feature_table(
-        requests, series, dimension, registry=registry, include_target=False, history=history
+        accepted.select(*keyed.drop("_contract").columns), series, dimension, registry=registry, include_target=False, history=history
     ).withColumn(LABEL, F.lit(None).cast("double"))
     if isinstance(models, Mapping):
         routed = [fitted.predict(features.where(F.col("basket_type") == segment)) for segment, fitted in models.items()]
         predicted = reduce(DataFrame.unionByName, routed)
     else:
         predicted = models.predict(features)
-    ages = scoring.asof_latest_date(requests, series)
-    joined = requests.join(predicted.select(S.ID, "prediction"), S.ID, "left").join(ages, S.ID, "left")
+    joined = accepted.join(predicted.select(S.ID, "prediction"), S.ID, "left")
     flagged = scoring.ood_flags(joined, ranges)
     done = scoring.score_postprocess(flagged, radius=rules.radius, clipping=rules.clipping)
-    return done.select(
-        S.ID,
+    answered = done.select(
         order,
         "predicted_avg_duration_months",
         F.lit(rules.model_version).alias("model_version"),
@@ -120,6 +170,5 @@ def score_batch(
         F.lit(rules.coverage).alias("interval_nominal_coverage"),
         "out_of_distribution",
         "warnings",
-        "market_data_as_of",
-        "max_market_data_age_days",
     )
+    return judged.select(order, "reasons", "market_data_as_of", "max_market_data_age_days").join(answered, order, "left")

@@ -8,12 +8,20 @@ from pyspark.sql import types as T
 
 from quotelens import functions as fn
 from quotelens import schema as S
+from quotelens.operators.ordered import positions
+from quotelens.session import materialise
 
 
 def _raw(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV columns as text, by header name, so a bad value nulls one cell and not the row."""
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    return spark.read.schema(text).option("enforceSchema", False).csv(path, header=True)
+    """CSV columns as text, found by header name in any order; other columns are not read.
+
+    A bad value then nulls one cell and not the row; a missing column is an error.
+    """
+    frame = spark.read.csv(path, header=True, inferSchema=False)
+    missing = [f.name for f in schema.fields if f.name not in frame.columns]
+    if missing:
+        raise ValueError(f"{path} has no columns {missing}")
+    return frame.select(*[f.name for f in schema.fields])
 
 
 def typed(column: Column, kind: T.DataType) -> Column:
@@ -74,20 +82,37 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def read_requests(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Scoring requests from a JSON list/object or a CSV, numbered in file order.
 
-    The number grows along the input partitions, so keeping the order needs no sort.
+    JSON is read with the declared fields and columns that only history has, each as text, so
+    nothing is inferred from values; any other key is kept, for the contract to refuse. Rows are
+    numbered by file name and place in the file, also over several files.
     """
     kind = kind or ("json" if path.endswith(".json") else "csv")
+    known = [f.name for f in S.REQUEST.fields]
     if kind == "json":
-        frame = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+        names = [*known, *S.HISTORY_ONLY_COLUMNS]
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+        # A request file is one list or one object: its keys are read before its values.
+        many, one = F.from_json("value", "array<map<string,string>>"), F.from_json("value", "map<string,string>")
+        refused = F.raise_error(F.concat(F.lit("not a JSON list or object: "), "_file"))
+        items = F.when(many.isNotNull(), many).when(one.isNotNull(), F.array(one)).otherwise(refused)
+        rows = whole.select("_file", F.posexplode(items).alias("_place", "_item")).withColumn("_start", F.lit(0).cast("bigint"))
+        keys = rows.select(F.explode(F.map_keys("_item")).alias("k")).distinct().where(~F.col("k").isin(*names))
+        extra = sorted(r["k"] for r in keys.limit(10).collect())
+        frame = rows.select("_file", "_start", "_place", *[F.col("_item")[n].alias(n) for n in names], *[F.col("_item")[n].alias(n) for n in extra])
+        seen = rows.agg(*[F.max(F.map_contains_key("_item", n)).alias(n) for n in names]).head()
+        frame = frame.drop(*[n for n in names if not (seen and seen[n])])
     else:
         frame = spark.read.csv(path, header=True)
+        extra = [c for c in frame.columns if c not in known]
+        place = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id()}
+        frame = frame.withColumns(place)
+    order = ["_file", "_start", "_place"]
+    # Equal ranges of the file order, stored so that both uses see one cut.
+    ranged = materialise(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    frame = positions(ranged, [], order, F.col("_range"), "request_ord")
     fields = [f for f in S.REQUEST.fields if f.name in frame.columns]
-    extra = [c for c in frame.columns if c not in {f.name for f in S.REQUEST.fields}]
-    return frame.select(
-        F.monotonically_increasing_id().alias("request_ord"),
-        *[typed(F.col(f.name), f.dataType).alias(f.name) for f in fields],
-        *extra,
-    )
+    other = [c for c in frame.columns if c not in {*known, *order, "_range", "request_ord"}]
+    return frame.select("request_ord", *[typed(F.col(f.name), f.dataType).alias(f.name) for f in fields], *other)
 
 
 def discover_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -96,10 +96,50 @@ def test_batch_scores_equal_single_scores(spark, registry):
 
     def score(part):
         asked = part.withColumn("request_ord", F.col("rfq_id"))
-        return {r["rfq_id"]: r for r in serving.score_batch(asked, history, members, fitted, rules, ranges, registry).collect()}
+        return {r["request_ord"]: r for r in serving.score_batch(asked, history, members, fitted, rules, ranges, registry).collect()}
 
     batch, single = score(rows), score(rows.where("rfq_id = 'r7'"))
     assert len(batch) == 20 and batch["r7"]["predicted_avg_duration_months"] == single["r7"]["predicted_avg_duration_months"]
     for r in batch.values():
         assert r["prediction_interval_lower_months"] <= r["predicted_avg_duration_months"] <= r["prediction_interval_upper_months"]
-        assert r["max_market_data_age_days"] == 0
+        assert r["max_market_data_age_days"] == 0 and r["reasons"] == []
+
+    odd = rows.withColumn("underlyings", F.when(F.col("rfq_id") == "r3", "ZZZ").otherwise(F.col("underlyings")))
+    odd = odd.withColumn("requested_date", F.when(F.col("rfq_id") == "r4", F.lit("2026-01-01").cast("date")).otherwise(F.col("requested_date")))
+    refused = score(odd)
+    assert refused["r3"]["reasons"] == ["unknown_member", "no_history"] and refused["r3"]["predicted_avg_duration_months"] is None
+    assert refused["r4"]["reasons"] == ["stale_history"] and refused["r5"]["predicted_avg_duration_months"] is not None
+    numbered = odd.withColumn("request_ord", F.col("rfq_id"))
+    with pytest.raises(serving.RefusedError):
+        serving.score_batch(numbered, history, members, fitted, rules, ranges, registry, atomic=True)
+    routed = serving.score_batch(numbered, history, members, {"worst_of": fitted}, rules, ranges, registry)
+    assert routed.where("request_ord = 'r7'").head()["reasons"] == ["no_model"]
+
+
+def test_every_label_keeps_its_own_code(spark):
+    from quotelens.operators.encoding import fit_encoder
+
+    rows = spark.range(12000).select((F.col("id") % 6000).cast("string").alias("label"), (F.col("id") % 7).cast("double").alias("target"))
+    for encoding in ("ordinal", "native"):
+        encoder = fit_encoder(rows, ["label"], encoding, "target")
+        coded = encoder.encode(rows)
+        assert coded.select("code_label").distinct().count() == 6000
+        assert coded.agg(F.max("code_label")).head()[0] == 5999.0
+    few = fit_encoder(rows.unionByName(rows.where("label < '1'")), ["label"], "onehot", "target")
+    assert few.table.count() == 0 and few.encode(rows).where("code_label <> 0").isEmpty()
+
+
+def test_baselines_are_saved_and_loaded(spark, frame, registry, tmp_path):
+    rows = frame.where("split = 'test'")
+    for candidate in (Candidate("mean", "constant", params={"strategy": "mean"}), Candidate("median", "group_median", keys=("observation_frequency_clean",))):
+        fitted = fit(candidate, frame.where("split = 'train'"), registry)
+        path = str(tmp_path / candidate.name)
+        serving.save_model(fitted, path, scoring.ServingRules(radius=1.0, clipping=False))
+        loaded, _ = serving.load_model(spark, path)
+        one, two = (f.predict(rows).select("rfq_id", "prediction").orderBy("rfq_id").collect() for f in (fitted, loaded))
+        assert one == two and all(r["prediction"] is not None for r in one)
+
+
+def test_router_refuses_to_lose_rows(frame, registry):
+    with pytest.raises(ValueError, match="no model scores"):
+        serving.train_segmented(frame.withColumn("segment", F.when(F.col("rfq_id") % 5 == 0, "other").otherwise(F.col("segment"))), {"single": RIDGE}, registry)
