@@ -37,12 +37,15 @@ def _interval(replicates: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def poisson_weight(uniform: Column) -> Column:
-    """Poisson(1) draw from a uniform number by inverting the cumulative distribution."""
-    total, chain = 0.0, None
-    for k in range(0, 12):
-        total += math.exp(-1.0) / math.factorial(k)
-        chain = F.when(uniform < total, F.lit(k)) if chain is None else chain.when(uniform < total, F.lit(k))
-    return chain.otherwise(F.lit(12))
+    """Poisson(1) draw from a uniform number by inverting the cumulative distribution, as far as doubles tell steps apart."""
+    total, chain, k = math.exp(-1.0), F.when(uniform < math.exp(-1.0), F.lit(0)), 0
+    while True:
+        k += 1
+        further = total + math.exp(-1.0) / math.factorial(k)
+        if further == total:
+            return chain.otherwise(F.lit(k))
+        total = further
+        chain = chain.when(uniform < total, F.lit(k))
 
 
 def bootstrap_rows(
