@@ -23,6 +23,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import read, scratch_folder, stored
 
 MIN_REVISIT = 100
+SALTS = 32
 FILE_BYTES = 256 << 20
 GAP = 64 << 10
 RANGE_BYTES = 8 << 20
@@ -158,23 +159,22 @@ def capture(pages: DataFrame) -> DataFrame:
     """Records to write: record_id, url, payload, digest, refers_to.
 
     Of pages with equal payloads of at least 100 bytes the smallest page_id is the response, the
-    others revisit it. Groups are found on digests alone: the smallest page of each digest is added
-    up before the shuffle, and the join back moves digests and page ids, whose hot digest adaptive
-    execution splits. Null html is an empty payload. A null page_id is a response, with id "null".
-    Rows that repeat page_id and payload are the same capture: all of them are responses.
+    others revisit it. Groups are found on digests alone, added up before the shuffle; pages then
+    meet their group on digest and one of 32 salts, so a payload that a third of all pages share is
+    spread. Null html is an empty payload. A null page_id is a response, with id "null". Rows that
+    repeat page_id and payload are the same capture: all of them are responses.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(
-        {"payload": F.encode("html", "UTF-8"), "digest": F.sha2("html", 256)}
-    )
-    large = F.octet_length("html") >= MIN_REVISIT
-    first = rows.where(large).groupBy(F.col("digest").alias("_digest")).agg(F.min("page_id").alias("_first"), F.max("page_id").alias("_last"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
+    large = rows.where(F.octet_length("html") >= MIN_REVISIT)
+    first = large.groupBy("digest").agg(F.min("page_id").alias("_first"), F.max("page_id").alias("_last"))
     # Only digests of several pages are joined.
-    first = first.where(F.col("_first") < F.col("_last")).select("_digest", "_first")
-    joined = rows.join(first, large & (F.col("digest") == F.col("_digest")), "left")
+    first = first.where(F.col("_first") < F.col("_last")).select("digest", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(first, ["digest", "_salt"], "left")
     return joined.select(
         F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("record_id"),
         "url",
-        "payload",
+        F.encode("html", "UTF-8").alias("payload"),
         "digest",
         F.when(F.col("page_id") > F.col("_first"), F.col("_first").cast("string")).alias("refers_to"),
     )
