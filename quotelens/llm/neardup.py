@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     signed = stored(rows.mapInArrow(_sign, schema))
     worded = signed.where("_words is not null and _doc is not null")
     # Equal words have equal bands, so any row's bands stand for the copies.
-    copies = worded.groupBy("_words").agg(F.min("_doc").alias("node"), F.min_by("_bands", "_doc").alias("_bands"))
+    copies = stored(worded.groupBy("_words").agg(F.min("_doc").alias("node"), F.min_by("_bands", "_doc").alias("_bands")))
     members = copies.select("node", F.explode("_bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("top")).where("n > 1")
     members = stored(members.join(sizes, "key"))
@@ -317,12 +317,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     links = verified(pairs, rows, threshold)
     roots = components(links)
     late = torn_links(members, roots, rows, threshold)
-    # Copies of a document that repeats its id with other words hold those texts together.
-    same = worded.join(copies.select("_words", "node"), "_words").select(F.col("_doc").alias("a"), F.col("node").alias("b")).where("a <> b")
-    roots = components(links.unionByName(late).unionByName(same))
-    return signed.join(roots, signed["_doc"] == roots["node"], "left").select(
-        F.col("_doc").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
-        F.coalesce("root", "_doc").cast(docs.schema["doc_id"].dataType).alias("class_id"),
+    # A doc_id that repeats with other words holds those texts together.
+    several = worded.groupBy("_doc").agg(F.min("_words").alias("_low"), F.max("_words").alias("_high")).where("_low <> _high").select("_doc")
+    same = worded.join(several, "_doc").join(copies.select("_words", "node"), "_words").select(F.col("_doc").alias("a"), F.col("node").alias("b"))
+    roots = components(links.unionByName(late).unionByName(same.where("a <> b")))
+    # Classes are settled per distinct text before rows meet them, so a text of many copies joins by one stored row.
+    settled = stored(copies.join(roots, "node", "left").select("_words", F.coalesce("root", "node").alias("root")))
+    kind = docs.schema["doc_id"].dataType
+    return signed.join(settled, "_words", "left").select(
+        F.col("_doc").cast(kind).alias("doc_id"), F.when(F.col("_doc").isNotNull(), F.coalesce("root", "_doc")).cast(kind).alias("class_id")
     )
 
 

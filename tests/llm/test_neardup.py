@@ -88,6 +88,13 @@ def test_nulls_wordless_and_repeated_rows(spark):
     assert neardup.keep_one_each(empty(spark)).count() == 0
 
 
+def test_an_id_with_two_texts_joins_them(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, one), (5, one), (5, two), (9, two), (3, two + " end")]
+    found = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.class_id) for r in found} == {(1, 1), (5, 1), (9, 1), (3, 1)} and len(found) == 5
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101)], "a long, b long")
     roots = {r.node: r.root for r in neardup.components(links).collect()}
