@@ -20,12 +20,24 @@ PLACES = 6
 NUDGE = "1.0000000000001"
 
 
+_DOMAINS: dict[tuple[str, str], Domain] = {}
+
+
+def domain(spark: SparkSession, folder: str) -> Domain:
+    """The views over a folder, derived and stored once per session; anew where their scratch files are gone."""
+    key = (spark.sparkContext.applicationId, folder)
+    known = _DOMAINS.get(key)
+    if known is None or known.spark is not spark or not known.stored():
+        known = _DOMAINS[key] = Domain(spark, folder)
+    return known
+
+
 def query(name: str, sql: str | None = None):
     """Register a plan builder over a ``Domain``; double columns are rounded to six places."""
 
     def register(build: Callable[[Domain], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return rounded(build(Domain(spark, folder)))
+            return rounded(build(domain(spark, folder)))
 
         run.__name__, run.__doc__ = name, build.__doc__
         QUERIES[name] = run

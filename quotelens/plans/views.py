@@ -26,6 +26,17 @@ class Domain:
         self.spark, self.folder = spark, folder
         self.registry = S.FeatureRegistry(self.members)
 
+    def stored(self) -> bool:
+        """Whether all views that were written to scratch are still there."""
+        for name in ("stored_quotes", "stored_history", "contract_frame", "model_frame"):
+            frame = self.__dict__.get(name)
+            files = frame.inputFiles() if frame is not None else []
+            if files:
+                jvm = self.spark._jvm.org.apache.hadoop.fs.Path(files[0])
+                if not jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm):
+                    return False
+        return True
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
