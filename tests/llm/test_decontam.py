@@ -1,7 +1,7 @@
 import random
 import re
 
-from helpers import empty, frame, words
+from llm_helpers import empty, frame, words
 
 from quotelens.llm import decontam
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import empty, frame, words
+from llm_helpers import empty, frame, words
 
 from quotelens.llm import neardup
 

@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from helpers import empty, frame
+from llm_helpers import empty, frame
 
 from quotelens.llm import pii
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import frame, words
+from llm_helpers import frame, words
 
 import corpus_pipeline
 from quotelens.llm import neardup

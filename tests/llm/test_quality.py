@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from helpers import empty, frame, words
+from llm_helpers import empty, frame, words
 
 from quotelens.llm import quality
 

@@ -2,7 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
-from helpers import empty, frame
+from llm_helpers import empty, frame
 
 from quotelens.llm import sharding
 

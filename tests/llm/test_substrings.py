@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from helpers import empty, frame, words
+from llm_helpers import empty, frame, words
 
 from quotelens.llm import substrings
 

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from helpers import empty, frame, words
+from llm_helpers import empty, frame, words
 
 from quotelens.llm import packing, tokencount
 
