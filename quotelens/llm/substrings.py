@@ -93,8 +93,8 @@ class Parse:
         # Places fit 32 bits, as a stretch is bounded; fingerprints are what takes the memory.
         self.doc_end = np.repeat(ends, sizes).astype(np.int32)
         fits = np.ones(n + 1, bool)
-        # A trigger's window [t - TRIGGER, t) must not reach over a document's start.
-        for k in range(TRIGGER):
+        # A trigger's window [t - TRIGGER, t) must not reach over a document's start; at t = start it ends the document before.
+        for k in range(1, TRIGGER):
             fits[np.minimum(starts + k, n)] = False
         fits[:TRIGGER] = False
         hit = np.zeros(n + 1, bool)

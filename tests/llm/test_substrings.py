@@ -69,5 +69,17 @@ def test_long_documents_are_cut_with_overlap(monkeypatch):
     assert mine == brute(rows, 60)
 
 
+def test_triggers_at_document_ends(spark):
+    """Documents end at every offset of a passage that one other document holds in its middle; one chunk, so one stretch."""
+    rnd = random.Random(4)
+    letters = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage = letters(24_000)
+    rows = [(1000, letters(90) + passage + letters(90))]
+    rows += [(k, letters(70) + passage[100 * k : 100 * k + 65 + k % 30]) for k in range(240)]
+    found = substrings.repeated_spans(frame(spark, rows), 60, True).collect()
+    mine = sorted(((r[0], r[1], [tuple(s) for s in r[2]], r[3], bytes(r[4])) for r in found), key=str)
+    assert mine == brute(rows, 60)
+
+
 def test_empty_table(spark):
     assert substrings.repeated_spans(empty(spark)).collect() == []
