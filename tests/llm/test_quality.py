@@ -54,3 +54,15 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality.score(docs, quality.fit(docs, none)).collect()] == [0.5, 0.5]
     assert quality.score(empty(spark), quality.fit(empty(spark), none)).count() == 0
+
+
+def test_repeated_ids_reach_the_driver_once(spark, monkeypatch):
+    rows = labelled(40, 3)
+    docs = frame(spark, [r[:2] for r in rows] + [(1, f"copy {k}") for k in range(50)])
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: seen.append(texts))
+    quality.fit(docs, labels)
+    learned = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 1 in learned and len(seen[0]) == len(learned)
+    assert seen[0][learned.index(1)] == min(rows[1][1].encode(), b"copy 0")
