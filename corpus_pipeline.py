@@ -15,8 +15,13 @@ from quotelens.llm.common import read, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from labelled documents outside the held-out fold."""
+    """Documents that the classifier accepts; it learns from labelled documents outside the held-out fold.
+
+    Where they don't hold both classes there is nothing to tell documents apart by, and all are kept.
+    """
     net = quality.fit(docs, read(spark, sf_dir, "labels"))
+    if net.prior is not None:
+        return docs
     return quality.score(docs, net, keep_text=True).where(F.col("score") >= quality.ACCEPT).select(*docs.columns)
 
 

@@ -1,6 +1,7 @@
 """Every stage of the pipeline on a small folder, held against the operators' plain definitions."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -63,6 +64,16 @@ def test_stages(spark, folder, tmp_path):
     assert all(sum(r.length for r in packed if r.doc_id == i) == next(r.doc_tokens for r in packed if r.doc_id == i) for i in before)
 
 
+@pytest.mark.parametrize("labels", [[], [(5, 0), (5, 1)], [(1, None)], [(0, 1), (1, 1)], [(0, 0), (1, 0)]])
+def test_classifier_keeps_all_when_nothing_is_learned(spark, tmp_path, labels):
+    """No label, only a held-out one (crc32 of "5" modulo 4 is 2), only null ones, one class only."""
+    assert zlib.crc32(b"5") % 4 == 2
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, [(0, "a"), (1, "b"), (5, "c"), (5, None), (None, "d")])
+    kept = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted(docs.collect(), key=str)
+
+
 def test_run_returns_the_last_stage(spark, folder):
     assert neardup.SIMILARITY == 0.8 and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert corpus_pipeline.run(spark, folder[0]).columns[:3] == ["doc_id", "start", "length"]
