@@ -1,8 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Bytes are embedded, learned filters look at overlapping chunks of 8 bytes, 4 bytes apart, over the
-whole document, each filter's largest response is kept, and a small dense layer turns the pooled
-responses into one probability. Training fits on the driver over a bounded sample of labelled rows
+whole document. Beside them, wide filters look at overlapping chunks of 48 bytes, as far apart, and
+see for each lag of 2 to 32 bytes which share of a chunk comes again that many bytes later: a word or
+phrase that repeats fills such a chunk, whatever the word is. Each filter's largest response is kept,
+and a small dense layer turns the pooled responses into one probability. Training fits on the driver over a bounded sample of labelled rows
 (``sample_rows``, texts of at most ``sample_bytes``); scoring runs where documents are read, in
 stretches of bounded size, so a text of any length is covered whole in the same memory.
 """
@@ -20,6 +22,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import read, slices
 
 STEP, WIDTH, EMBED, FILTERS, HIDDEN = 4, 8, 8, 32, 16
+WIDE, LAGS, ECHOES = 48, range(2, 33), 8
+#: Empty steps after each text, so that no chunk reaches into the next one.
+TAIL = WIDE // STEP - 1
 PAD = 256
 STRETCH = 1 << 17
 SAMPLE_ROWS = 6000
@@ -37,8 +42,9 @@ class Network:
         self.p = {
             "embed": draw(257, EMBED, scale=0.5),
             "filters": draw(WIDTH * EMBED, FILTERS, scale=(WIDTH * EMBED) ** -0.5),
-            "bias": np.zeros(FILTERS, np.float32),
-            "hidden": draw(FILTERS, HIDDEN, scale=FILTERS**-0.5),
+            "echo": draw(len(LAGS), ECHOES, scale=len(LAGS) ** -0.5),
+            "bias": np.zeros(FILTERS + ECHOES, np.float32),
+            "hidden": draw(FILTERS + ECHOES, HIDDEN, scale=(FILTERS + ECHOES) ** -0.5),
             "hidden_bias": np.zeros(HIDDEN, np.float32),
             "out": draw(HIDDEN, scale=HIDDEN**-0.5),
             "out_bias": np.zeros(1, np.float32),
@@ -47,26 +53,26 @@ class Network:
         self.prior: float | None = None
 
     def respond(self, data: np.ndarray) -> np.ndarray:
-        """Responses of all chunks; ``data`` is a whole number of steps, and its last step only ends chunks."""
+        """Responses of all chunks; ``data`` is a whole number of steps, and its last TAIL steps only end chunks."""
         steps = self.p["embed"][data].reshape(-1, STEP * EMBED)
-        half = STEP * EMBED
-        return steps[:-1] @ self.p["filters"][:half] + steps[1:] @ self.p["filters"][half:]
+        half, n = STEP * EMBED, len(steps) - TAIL
+        narrow = steps[:n] @ self.p["filters"][:half] + steps[1 : n + 1] @ self.p["filters"][half:]
+        return np.concatenate([narrow, echoes(data) @ self.p["echo"]], 1)
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Largest response of each filter over each whole text."""
-        out = np.full((len(texts), FILTERS), -np.inf, np.float32)
+        out = np.full((len(texts), FILTERS + ECHOES), -np.inf, np.float32)
         for a, b in slices([len(t) for t in texts], STRETCH):
             if len(texts[a]) > STRETCH:
                 for at in range(0, len(texts[a]), STRETCH):
-                    responses = self.respond(laid_out([texts[a][at : at + STRETCH + STEP]])[0])
-                    # Only the last stretch ends in an empty step; the others' last step begins the next stretch.
-                    whole = responses if at + STRETCH >= len(texts[a]) else responses[:-1]
-                    np.maximum(out[a], whole.max(0), out=out[a])
+                    # A stretch takes along what its last chunks hold of the next one.
+                    responses = self.respond(laid_out([texts[a][at : at + STRETCH + TAIL * STEP]])[0])
+                    np.maximum(out[a], responses[: STRETCH // STEP].max(0), out=out[a])
             else:
                 data, starts = laid_out(texts[a:b])
                 responses = self.respond(data)
-                # The chunk that reaches from a text's last, empty step into the next text is not a chunk.
-                responses[starts[1:] - 1] = -np.inf
+                # Chunks that begin in a text's empty steps reach into the next text and are none.
+                responses[(starts[1:, None] - np.arange(1, TAIL + 1)).ravel()] = -np.inf
                 out[a:b] = np.maximum.reduceat(responses, starts, axis=0)
         return out + self.p["bias"]
 
@@ -82,8 +88,8 @@ class Network:
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after another, each padded to whole steps and followed by an empty step; first steps of each."""
-    sizes = np.array([max(1, -(-len(t) // STEP)) + 1 for t in texts])
+    """Texts one after another, each padded to whole steps and followed by TAIL empty steps; first steps of each."""
+    sizes = np.array([max(1, -(-len(t) // STEP)) + TAIL for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     data = np.full(starts[-1] * STEP, PAD, np.int16)
     for t, s in zip(texts, starts):
@@ -91,6 +97,23 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, starts[:-1]
 
 
+def echoes(data: np.ndarray) -> np.ndarray:
+    """For each wide chunk and lag, the share of the chunk's bytes that stand again ``lag`` bytes later inside it."""
+    n = len(data) // STEP - TAIL
+    out = np.empty((len(LAGS), n), np.float32)
+    again = np.zeros(len(data), bool)
+    sums = np.zeros(len(data) // STEP + 1, np.int32)
+    for k, lag in enumerate(LAGS):
+        again[-lag:] = False
+        np.equal(data[:-lag], data[lag:], out=again[:-lag])
+        again[:-lag] &= data[:-lag] != PAD
+        # The four flags of a step are added by one multiplication.
+        np.cumsum((again.view(np.uint32) * np.uint32(0x01010101)) >> np.uint32(24), out=sums[1:])
+        steps = (WIDE - lag) // STEP
+        np.multiply(sums[steps : steps + n] - sums[:n], 1 / (steps * STEP), out=out[k])
+    return out.T
+
+
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network:
     """Adam on the logistic loss; only the chunk that won each maximum carries a gradient."""
     net = Network(seed)
@@ -111,22 +134,25 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = E
             chosen = order[at : at + BATCH]
             data, starts = laid_out([texts[i] for i in chosen])
             responses = net.respond(data)
-            ends = [*(starts[1:] - 1), len(responses)]
+            ends = [*(starts[1:] - TAIL), len(responses)]
+            heard = echoes(data)
             won = np.stack([s + responses[s:e].argmax(0) for s, e in zip(starts, ends)])
             pooled = np.take_along_axis(responses, won, 0) + p["bias"]
             lively, hidden, logit = net.head(pooled)
             error = (1 / (1 + np.exp(-logit)) - labels[chosen]) / len(chosen)
             d_hidden = np.outer(error, p["out"]) * (hidden > 0)
             d_pooled = (d_hidden @ p["hidden"].T) * (pooled > 0)
-            seen = data[won[..., None] * STEP + window]
+            d_narrow, d_wide = d_pooled[:, :FILTERS], d_pooled[:, FILTERS:]
+            seen = data[won[:, :FILTERS, None] * STEP + window]
             looked = p["embed"][seen].reshape(len(chosen), FILTERS, -1)
-            d_seen = (d_pooled[..., None] * p["filters"].T).reshape(-1, EMBED)
+            d_seen = (d_narrow[..., None] * p["filters"].T).reshape(-1, EMBED)
             d_embed = np.zeros_like(p["embed"])
             np.add.at(d_embed, seen.reshape(-1), d_seen)
             d_embed[PAD] = 0
             grads = {
                 "embed": d_embed,
-                "filters": np.einsum("df,dfk->kf", d_pooled, looked),
+                "filters": np.einsum("df,dfk->kf", d_narrow, looked),
+                "echo": np.einsum("df,dfk->kf", d_wide, heard[won[:, FILTERS:]]),
                 "bias": d_pooled.sum(0),
                 "hidden": lively.T @ d_hidden,
                 "hidden_bias": d_hidden.sum(0),

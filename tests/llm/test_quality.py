@@ -66,3 +66,17 @@ def test_repeated_ids_reach_the_driver_once(spark, monkeypatch):
     learned = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
     assert 1 in learned and len(seen[0]) == len(learned)
     assert seen[0][learned.index(1)] == min(rows[1][1].encode(), b"copy 0")
+
+
+def test_repeats_of_unseen_words_are_bad():
+    rnd = random.Random(5)
+    rows = []
+    for i in range(900):
+        text = words(rnd, rnd.randint(30, 80))
+        if i % 4 == 0:
+            text = " ".join(w for w in text.split(" ")[:6] for _ in range(12))
+        rows.append((text.encode(), int(i % 4 != 0)))
+    net = quality.train([t for t, _ in rows[:600]], np.array([q for _, q in rows[:600]], np.float32))
+    accepted = net.scores([t for t, _ in rows[600:]]) >= quality.ACCEPT
+    truth = np.array([q == 1 for _, q in rows[600:]])
+    assert (~accepted[~truth]).mean() > 0.95 and accepted[truth].mean() > 0.95
