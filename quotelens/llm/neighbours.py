@@ -8,6 +8,7 @@ Candidates are measured exactly on the original vectors.
 
 The index is cut into segments of bounded size by a hash of the row's id, each with its own forest;
 every query visits every segment, in blocks of queries, and the nearest of all segments are merged.
+Vectors of different lengths have no distance, so each length has segments and blocks of its own.
 """
 
 from __future__ import annotations
@@ -95,35 +96,37 @@ def _search(k: int, share: float, least: int):
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """vec_id and vector (doubles) of the rows that take part.
 
-    Left out are rows whose id or vector is null, vectors that are all zero or empty or hold null or
-    non-finite numbers, and vectors of another length than the table's commonest one (ties: the
-    longer).
+    Left out are rows whose id or vector is null, and vectors that are all zero or empty or hold null
+    or non-finite numbers.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    rows = rows.where("vec_id is not null and vector is not null").where(~F.exists("vector", bad) & F.exists("vector", lambda v: v != 0))
-    common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("vector") == (common[0] if common else 0))
+    return rows.where("vec_id is not null and vector is not null").where(~F.exists("vector", bad) & F.exists("vector", lambda v: v != 0))
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """query_id, rank, vec_id, score: for rows whose vec_id is divisible by ``every`` their k nearest others.
+    """query_id, rank, vec_id, score: for rows whose vec_id is divisible by ``every`` their k nearest others of the same length.
 
     Other columns are ignored. Rows that share a vec_id are each candidates for other queries and one
     query (of the smallest vector); a query never finds its own id. Equal distances go by vec_id. An
-    empty table, or one of unusable vectors, gives an empty result.
+    empty table, or one of unusable vectors, gives an empty result, and so does a query that is alone
+    with its length.
     """
-    rows = usable(vectors)
-    count = rows.count()
-    segments = max(1, -(-count // SEGMENT_ROWS))
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    parts = max(1, -(-count // every // QUERY_ROWS))
-    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = rows.withColumn("segment", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(segments)).cast("int")).withColumn("part", number(parts))
-    queries = asked.select(
-        F.col("vec_id").alias("query_id"), "vector", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part")
-    ).withColumn("segment", number(segments))
-    found = index.groupBy("segment", "part").cogroup(queries.groupBy("segment", "part")).applyInArrow(_search(k, share, least), FOUND)
+    rows = usable(vectors).withColumn("n", F.size("vector"))
+    # One row per length, so few; without the broadcast all rows of one length would meet in one task.
+    lengths = rows.groupBy("n").agg(F.count("*").alias("rows"))
+    lengths = lengths.select(
+        "n", F.ceil(F.col("rows") / SEGMENT_ROWS).alias("segments"), F.greatest(F.lit(1), F.ceil(F.floor(F.col("rows") / every) / QUERY_ROWS)).alias("parts")
+    )
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("n", F.size("vector"))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    dealt = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    index = rows.join(F.broadcast(lengths), "n").withColumn("segment", dealt("segments", "vec_id", "vector")).withColumn("part", number("parts")).drop("segments", "parts")
+    queries = asked.join(F.broadcast(lengths), "n").select(
+        F.col("vec_id").alias("query_id"), "vector", "n", dealt("parts", "vec_id", F.lit(1)).alias("part"), number("segments").alias("segment")
+    )
+    groups = ["n", "segment", "part"]
+    found = index.groupBy(*groups).cogroup(queries.groupBy(*groups)).applyInArrow(_search(k, share, least), FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

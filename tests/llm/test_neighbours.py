@@ -48,3 +48,22 @@ def test_few_rows_and_none(spark):
     rows = rows_of(4, 3)
     assert search(spark, rows) == brute(rows) and len(search(spark, rows)[0]) == 3
     assert search(spark, []) == {} and search(spark, [(1, None)]) == {}
+
+
+def test_every_length_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SEGMENT_ROWS", 150)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 2)
+    rng = np.random.default_rng(6)
+    rows = rows_of(400, 4)
+    other = [(1000 + i, rng.standard_normal(5).astype(np.float32).tolist()) for i in range(320)]
+    alone = [(5000, [1.0, 2.0])]
+    short = {}
+    for q, p in other:
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(np.square(np.array(v) - np.array(p)).sum())), i) for i, v in other if i != q)
+            short[q] = near[:10]
+    # An id with vectors of two lengths is a candidate in both, and asks with the smaller vector.
+    both = (0, [-9.0, 0.0, 0.0, 0.0, 1.0])
+    found = search(spark, rows + other + alone + [both])
+    far = lambda p: sorted((float(np.sqrt(np.square(np.array(v) - np.array(p)).sum())), i) for i, v in other)[:10]
+    assert 5000 not in found and found == {q: n for q, n in brute(rows).items() if q} | short | {0: far(both[1])}
