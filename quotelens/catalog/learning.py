@@ -73,18 +73,21 @@ def prep_native_cat(d):
     return encoder.encode(frame).select("rfq_id", *encoder.outputs)
 
 
+def _unboosted():
+    return [*(c for c in default_candidates() if c.family in ("constant", "group_median")), RIDGE, RIDGE_ORDINAL, FOREST]
+
+
 @query("benchmark_holdout")
 def benchmark_holdout(d):
     """Every baseline of the standing grid, both linear encodings and the forest."""
-    baselines = [c for c in default_candidates() if c.family in ("constant", "group_median")]
-    table, _ = experiments.holdout(d.model_frame, [*baselines, RIDGE, RIDGE_ORDINAL, FOREST], d.registry)
+    table, _ = experiments.holdout(d.model_frame, _unboosted(), d.registry)
     return table.select(*_SHORT)
 
 
 @query("benchmark_rolling")
 def benchmark_rolling(d):
-    grid = [MEAN, MEDIAN, RIDGE, RIDGE_ORDINAL]
-    return experiments.rolling(d.model_frame.where("split <> 'test'"), grid, d.registry, d.split_years).select("validation_year", *_SHORT)
+    """The candidates of ``benchmark_holdout`` over the folds."""
+    return experiments.rolling(d.model_frame.where("split <> 'test'"), _unboosted(), d.registry, d.split_years).select("validation_year", *_SHORT)
 
 
 def _segment_grids(blocks):
@@ -100,8 +103,8 @@ def benchmark_segmented(d):
 
 @query("benchmark_segmented_rolling")
 def benchmark_segmented_rolling(d):
-    grids = _segment_grids({"single": ["single_core", "single_stable"], "worst_of": ["worst_of_core", "worst_of_stable"]})
-    table = experiments.segmented_rolling(d.model_frame.where("split <> 'test'"), grids, d.registry, d.split_years)
+    """Every block of each segment over the folds."""
+    table = experiments.segmented_rolling(d.model_frame.where("split <> 'test'"), _segment_grids(SEGMENT_BLOCKS), d.registry, d.split_years)
     return table.select("segment", "validation_year", *_SHORT)
 
 
@@ -113,8 +116,8 @@ def benchmark_stable(d):
 
 @query("tune")
 def tune(d):
-    """Five trials for each linear candidate over its whole declared range."""
-    return experiments.tune(d.model_frame, [RIDGE, RIDGE_ORDINAL], d.registry, trials=5).select("base_model_name", "trial", "params", *_SHORT)
+    """The operator's default number of trials for each linear candidate over its whole declared range."""
+    return experiments.tune(d.model_frame, [RIDGE, RIDGE_ORDINAL], d.registry).select("base_model_name", "trial", "params", *_SHORT)
 
 
 @query("permutation_importance")

@@ -143,3 +143,20 @@ def test_baselines_are_saved_and_loaded(spark, frame, registry, tmp_path):
 def test_router_refuses_to_lose_rows(frame, registry):
     with pytest.raises(ValueError, match="no model scores"):
         serving.train_segmented(frame.withColumn("segment", F.when(F.col("rfq_id") % 5 == 0, "other").otherwise(F.col("segment"))), {"single": RIDGE}, registry)
+
+
+def test_registered_grids_are_whole(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from quotelens.catalog import learning
+    from quotelens.plans.models import SEGMENT_BLOCKS, default_candidates
+
+    held, rolled, parts, tuned = MagicMock(return_value=(MagicMock(), None)), MagicMock(), MagicMock(), MagicMock()
+    for name, mock in (("holdout", held), ("rolling", rolled), ("segmented_rolling", parts), ("tune", tuned)):
+        monkeypatch.setattr(learning.experiments, name, mock)
+    for build in (learning.benchmark_holdout, learning.benchmark_rolling, learning.benchmark_segmented_rolling, learning.tune):
+        build(MagicMock())
+    baselines = [c for c in default_candidates() if c.family in ("constant", "group_median")]
+    assert rolled.call_args.args[1] == held.call_args.args[1] == [*baselines, learning.RIDGE, learning.RIDGE_ORDINAL, learning.FOREST]
+    assert {s: [c.block for c in grid] for s, grid in parts.call_args.args[1].items()} == {s: list(names) for s, names in SEGMENT_BLOCKS.items()}
+    assert "trials" not in tuned.call_args.kwargs
