@@ -33,6 +33,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def numbered(frame: DataFrame, name: str = "_row") -> DataFrame:
+    """The frame, stored, with a number of its own for each row; only what is stored has numbers that stay."""
+    return stored(frame.withColumn(name, F.monotonically_increasing_id()))
+
+
+def total_bytes(docs: DataFrame, column: str = "text") -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
+#: Files of a bucketed table; chunks beyond share files.
+TABLE_FILES = 10_000
+
+
+def dealt(frame: DataFrame, chunks: int) -> DataFrame:
+    """The frame with a column ``chunk``, in a table bucketed by it: grouping by chunk needs no further shuffle.
+
+    Rows are dealt out by their number, so equal rows don't meet in one chunk. The table's name is
+    dropped at once; its files stay in the scratch folder.
+    """
+    spark = frame.sparkSession
+    files, name = min(chunks, TABLE_FILES), f"llm_chunks_{uuid.uuid4().hex}"
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("long")
+    rows = frame.withColumn("chunk", number).repartition(files, "chunk")
+    rows.write.bucketBy(files, "chunk").option("path", scratch_folder(spark)).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # analysed while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 length of a text; null counts as empty."""
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")

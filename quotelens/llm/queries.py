@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, neighbours, packing, pii, quality, sharding, substrings, tokencount, warc
+from . import alignment, decontam, neardup, neighbours, packing, pii, quality, sharding, substrings, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_neighbours": neighbours.op8_neighbours,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
+    "op11_alignment": alignment.op11_alignment,
 }
 
 ORACLES = {
