@@ -4,8 +4,9 @@ Both tokenizers cut the same bytes, so their tokens meet at common ends, which c
 a token of one and a token of the other are linked where their byte ranges overlap. A linked pair of
 ids counts once for each document that holds it.
 
-1. Texts are dealt out to chunks of bounded size in a bucketed table. Each chunk is aligned and
-   gives its distinct pairs with the number of its documents that hold them.
+1. Documents are tokenized once; their ids are dealt out to chunks of bounded size in a bucketed
+   table. Each chunk is aligned and gives its distinct pairs with the number of its documents that
+   hold them.
 2. The distinct pairs of the corpus are cut into segments by a hash; a task builds each segment's
    minimal perfect hash and lays the keys out in its order.
 3. Each leaf (a slice of the chunks' pairs of one segment) becomes a dense vector of counts indexed by the
@@ -19,7 +20,9 @@ Nothing but one number for each id of the first vocabulary passes through the dr
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,8 +37,12 @@ from .perfecthash import PerfectHash
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_BYTES = 4 << 20
-#: Text that is aligned in one go inside a chunk; a longer text goes alone.
-STRETCH = 1 << 20
+#: Text that is tokenized in one go, and tokens that are aligned in one go inside a chunk; a longer text goes alone.
+STRETCH, ALIGNED = 1 << 20, 1 << 18
+#: Characters whose kind (letter, digit, space, other) no Unicode version disputes.
+PLAIN = re.compile("[\t\n\r -~¡-ɏЀ-ҁ‐-‧ぁ-ゖァ-ヺ一-龥]*")
+#: How byte-level tokenizers of this kind split words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT_KEYS, LEAF_ROWS, FAN = 1 << 20, 1 << 21, 8
 
 
@@ -47,15 +54,15 @@ def byte_level() -> dict[str, int]:
 
 
 class Aligned(NamedTuple):
-    """Per text: token, group and link counts and the groups' text; per link: number of its text, and its pair."""
+    """Per text: token, group and link counts; per link: number of its text, and its pair; what the groups' text is made of."""
 
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
     n_links: np.ndarray
-    groups: list[str]
     owner: np.ndarray
     pairs: np.ndarray
+    cuts: tuple[np.ndarray, ...]
 
 
 class Aligner:
@@ -85,50 +92,74 @@ class Aligner:
         # Each id followed by the sign inside its group, then by the sign that ends its side of the group.
         signs = [f"{i}{s}" for i in range(len(self.bytes_a)) for s in ",|"] + [f"{i}{s}" for i in range(len(self.bytes_b)) for s in ",;"]
         self.signs = np.array(signs, dtype=object)
+        self.rapid = self._rapid()
 
     @property
     def width(self) -> int:
         """A pair is id_a * width + id_b."""
         return len(self.bytes_b)
 
+    def _rapid(self):
+        """The first tokenizer as a rank table, several times as fast, if its merges are in the order of their ids."""
+        setup = json.loads(self.first.to_str())
+        words, model = setup["pre_tokenizer"] or {}, setup["model"]
+        merged = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        ordered = all(model["vocab"].get(x + y) == 256 + i for i, (x, y) in enumerate(merged))
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        if setup["normalizer"] or model["type"] != "BPE" or not ordered or any(words.get(k, v) != v for k, v in plain.items()):
+            return None
+        import tiktoken
+
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merged))}
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
     def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both tokenizers; none of either where one of them does not give back the text's bytes."""
-        a = [e.ids for e in self.first.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        a: list[list[int]] = [[]] * len(texts)
+        plain = [bool(self.rapid and PLAIN.fullmatch(t)) for t in texts]
+        rest = [i for i, p in enumerate(plain) if not p]
+        for i, found in zip(rest, self.first.encode_batch([" " + texts[i] for i in rest], add_special_tokens=False)):
+            a[i] = found.ids
+        for i, text in enumerate(texts):
+            if plain[i]:
+                a[i] = self.rapid.encode_ordinary(" " + text)
         b = self.second.encode(texts, num_threads=1)
         for i, text in enumerate(texts):
             raw = (" " + text).encode("utf-8", "surrogatepass")
-            if not text or b"".join(map(self.bytes_a.__getitem__, a[i])) != raw or b"".join(map(self.bytes_b.__getitem__, b[i])) != raw:
+            if not text or b"".join(map(self.bytes_b.__getitem__, b[i])) != raw or b"".join(map(self.bytes_a.__getitem__, a[i])) != raw:
                 a[i], b[i] = [], []
         return a, b
 
-    def align(self, texts: list[str | None]) -> Aligned:
-        listed_a, listed_b = self.tokens([t or "" for t in texts])
-        n_a, n_b = np.array([len(x) for x in listed_a]), np.array([len(x) for x in listed_b])
-        a = np.fromiter(itertools.chain.from_iterable(listed_a), np.int64, n_a.sum())
-        b = np.fromiter(itertools.chain.from_iterable(listed_b), np.int64, n_b.sum())
+    def align(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Aligned:
+        """Align texts given as the ids of all of them in a row and the numbers of ids of each."""
         # Both sides of every text have the same bytes, so ends agree across the joined texts, and texts end together.
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         whole = int(ends_a[-1]) if len(a) else 0
         is_a, is_b = np.zeros(whole + 1, bool), np.zeros(whole + 1, bool)
         is_a[ends_a], is_b[ends_b] = True, True
-        common, cuts = np.flatnonzero(is_a & is_b), np.flatnonzero(is_a | is_b)
         # Two tokens overlap in one run of bytes, and between two cuts lies one token of each: cuts are links.
-        at_a, at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        cuts = np.flatnonzero(is_a | is_b)
+        a_ends, b_ends = is_a[cuts], is_b[cuts]
+        at_a, at_b = np.cumsum(a_ends) - a_ends, np.cumsum(b_ends) - b_ends
         pairs = a[at_a] * self.width + b[at_b]
-        bounds = np.cumsum(n_a)
-        owner = np.searchsorted(bounds, at_a, "right")
-        text_ends = np.concatenate([[0], ends_a])[bounds]
-        before = np.concatenate([[0], text_ends[:-1]])
-        count = lambda places: np.searchsorted(places, text_ends, "right") - np.searchsorted(places, before, "right")
-        upto_a, upto_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
-        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        owner = np.repeat(np.arange(len(n_a)), n_a)[at_a]
+        both = a_ends & b_ends
+        n_links, n_groups = np.bincount(owner, minlength=len(n_a)), np.bincount(owner[both], minlength=len(n_a))
+        return Aligned(n_a, n_b, n_groups, n_links, owner, pairs, (a, b, a_ends, b_ends, both))
+
+    def groups(self, found: Aligned) -> list[str]:
+        """Each text's groups, ids of the first before those of the second: ``a1,a2|b1;a3|b2,b3``."""
+        a, b, a_ends, b_ends, both = found.cuts
+        upto_a, upto_b = np.cumsum(a_ends), np.cumsum(b_ends)
+        # A token stands behind all tokens of earlier groups, those of the second behind the first's of its own group too.
+        closed = np.cumsum(both) - both
+        before_b, through_a = np.concatenate([[0], upto_b[both]]), upto_a[both]
         signs = np.empty(len(a) + len(b), np.int64)
-        signs[np.arange(len(a)) + np.concatenate([[0], upto_b])[group_a]] = a * 2 + is_b[ends_a]
-        signs[np.arange(len(b)) + upto_a[group_b]] = (len(self.bytes_a) + b) * 2 + is_a[ends_b]
+        signs[np.arange(len(a)) + before_b[closed[a_ends]]] = a * 2 + both[a_ends]
+        signs[np.arange(len(b)) + through_a[closed[b_ends]]] = (len(self.bytes_a) + b) * 2 + both[b_ends]
         parts = self.signs[signs]
-        edges = np.concatenate([[0], np.cumsum(n_a + n_b)])
-        groups = ["".join(parts[x:y].tolist())[:-1] for x, y in zip(edges[:-1], edges[1:])]
-        return Aligned(n_a, n_b, count(common), count(cuts), groups, owner, pairs)
+        edges = np.concatenate([[0], np.cumsum(found.n_a + found.n_b)])
+        return ["".join(parts[x:y].tolist())[:-1] for x, y in zip(edges[:-1], edges[1:])]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -141,10 +172,27 @@ def _aligner(first: str, second: str) -> Aligner:
     return _ALIGNERS[first, second]
 
 
-def _stretches(column: pa.ChunkedArray) -> Iterator[tuple[int, list[str | None]]]:
-    texts = column.to_pylist()
-    for x, y in slices([len(t or "") for t in texts], STRETCH):
-        yield x, texts[x:y]
+def _tokenize(first: str, second: str):
+    """(doc_id, text) to the ids of both tokenizers as 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for x, y in slices([len(t) for t in texts], STRETCH):
+                sides = _aligner(first, second).tokens(texts[x:y])
+                packed = [pa.array([np.array(ids, np.int32).tobytes() for ids in side], pa.binary()) for side in sides]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), *packed], ["doc_id", "a", "b"])
+
+    return run
+
+
+def _stretches(aligner: Aligner, table: pa.Table) -> Iterator[tuple[int, Aligned]]:
+    """A chunk's documents, aligned some at a time, with the number of the first."""
+    a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
+    ids = lambda side: np.frombuffer(b"".join(side), np.int32).astype(np.int64)
+    for x, y in slices([len(t) // 4 for t in a], ALIGNED):
+        sizes = [np.array([len(t) // 4 for t in side[x:y]], np.int64) for side in (a, b)]
+        yield x, aligner.align(ids(a[x:y]), ids(b[x:y]), *sizes)
 
 
 PARTIAL = StructType([StructField(n, LongType()) for n in ("chunk", "pair", "docs")])
@@ -167,8 +215,7 @@ def _count(first: str, second: str):
         aligner = _aligner(first, second)
         found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         span = len(aligner.bytes_a) * aligner.width
-        for _, texts in _stretches(table.column("text")):
-            aligned = aligner.align(texts)
+        for _, aligned in _stretches(aligner, table):
             held = np.unique(aligned.owner * span + aligned.pairs) % span
             pairs, docs = np.unique(held, return_counts=True)
             found.append(pairs)
@@ -243,22 +290,21 @@ def _highest(width: int):
 
 
 def _finish(first: str, second: str, highest: dict[int, int]):
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
-        types = [texts.schema.field("doc_id").type, *[pa.int64()] * 6, pa.string()]
+        types = [docs.schema.field("doc_id").type, *[pa.int64()] * 6, pa.string()]
         aligner = _aligner(first, second)
         order = np.argsort(found.column("pair").to_numpy())
         keys, counts = found.column("pair").to_numpy()[order], found.column("count").to_numpy()[order]
         best = counts == np.array([highest[a] for a in (keys // aligner.width).tolist()], np.int64)
         out = []
-        for x, part in _stretches(texts.column("text")):
-            aligned = aligner.align(part)
-            at = np.searchsorted(keys, aligned.pairs)
-            sums = np.zeros((2, len(part)), np.int64)
+        for x, aligned in _stretches(aligner, docs):
+            at, n = np.searchsorted(keys, aligned.pairs), len(aligned.n_a)
+            sums = np.zeros((2, n), np.int64)
             np.add.at(sums[0], aligned.owner, best[at].astype(np.int64))
             np.add.at(sums[1], aligned.owner, counts[at])
-            ids = texts.column("doc_id").slice(x, len(part)).combine_chunks()
-            columns = [ids, aligned.n_a, aligned.n_b, aligned.n_groups, aligned.n_links, *sums, aligned.groups]
+            ids = docs.column("doc_id").slice(x, n).combine_chunks()
+            columns = [ids, *aligned[:4], *sums, aligner.groups(aligned)]
             out.append(pa.table({n: pa.array(c, t) if n != "doc_id" else c for n, c, t in zip(names, columns, types)}))
         return pa.concat_tables(out) if out else pa.schema(list(zip(names, types))).empty_table()
 
@@ -294,7 +340,9 @@ def aligned(
     aligned whole; other columns are ignored; an empty table gives empty tables.
     """
     width = _aligner(first, second).width
-    texts = dealt(docs.select("doc_id", "text"), max(1, -(-total_bytes(docs) // chunk_bytes)))
+    schema = StructType([docs.schema["doc_id"], StructField("a", BinaryType()), StructField("b", BinaryType())])
+    tokenized = docs.select("doc_id", "text").mapInArrow(_tokenize(first, second), schema)
+    texts = dealt(tokenized, max(1, -(-total_bytes(docs) // chunk_bytes)))
     partials = stored(texts.groupBy("chunk").applyInArrow(_count(first, second), PARTIAL))
     keys = stored(partials.select("pair").distinct())
     segments = max(1, -(-keys.count() // segment_keys))

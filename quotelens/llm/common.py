@@ -56,7 +56,7 @@ def dealt(frame: DataFrame, chunks: int) -> DataFrame:
     files, name = min(chunks, TABLE_FILES), f"llm_chunks_{uuid.uuid4().hex}"
     number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("long")
     rows = frame.withColumn("chunk", number).repartition(files, "chunk")
-    rows.write.bucketBy(files, "chunk").option("path", scratch_folder(spark)).saveAsTable(name)
+    rows.write.bucketBy(files, "chunk").option("path", scratch_folder(spark)).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     table.schema  # analysed while the name is there
     spark.sql(f"DROP TABLE {name}")
