@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontam, neardup, neighbours, packing, pii, quality, sharding, substrings, tokencount, warc
+from . import alignment, decontam, neardup, neighbours, packing, pii, quality, sharding, substrings, tokencount, warc, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
     "op11_alignment": alignment.op11_alignment,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 ORACLES = {
