@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontam, neardup, neighbours, packing, pii, quality, sharding, substrings, tokencount, warc, whitening
+from . import alignment, decontam, licenses, neardup, neighbours, packing, pii, quality, sharding, substrings, tokencount, warc, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
     "op11_alignment": alignment.op11_alignment,
     "op12_whitening": whitening.op12_whitening,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 ORACLES = {
     "op3_decontamination": decontam.SQL,
     "op6_warc": warc.SQL,
     "op10_extendible_sharding": sharding.SQL,
+    "op13_licenses": licenses.SQL,
 }
