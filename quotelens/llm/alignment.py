@@ -37,8 +37,8 @@ from .perfecthash import PerfectHash
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_BYTES = 4 << 20
-#: Text that is tokenized in one go, and tokens that are aligned in one go inside a chunk; a longer text goes alone.
-STRETCH, ALIGNED = 1 << 20, 1 << 18
+#: Text that is tokenized in one go, and packed ids that are aligned in one go inside a chunk; a longer text goes alone.
+STRETCH, ALIGNED = 1 << 20, 1 << 19
 #: Characters whose kind (letter, digit, space, other) no Unicode version disputes.
 PLAIN = re.compile("[\t\n\r -~¡-ɏЀ-ҁ‐-‧ぁ-ゖァ-ヺ一-龥]*")
 #: How byte-level tokenizers of this kind split words.
@@ -93,6 +93,8 @@ class Aligner:
         signs = [f"{i}{s}" for i in range(len(self.bytes_a)) for s in ",|"] + [f"{i}{s}" for i in range(len(self.bytes_b)) for s in ",;"]
         self.signs = np.array(signs, dtype=object)
         self.rapid = self._rapid()
+        #: Ids travel in the smallest type that holds them.
+        self.packed = [np.min_scalar_type(len(x) - 1) for x in (self.bytes_a, self.bytes_b)]
 
     @property
     def width(self) -> int:
@@ -173,14 +175,15 @@ def _aligner(first: str, second: str) -> Aligner:
 
 
 def _tokenize(first: str, second: str):
-    """(doc_id, text) to the ids of both tokenizers as 32-bit numbers."""
+    """(doc_id, text) to the ids of both tokenizers, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for x, y in slices([len(t) for t in texts], STRETCH):
-                sides = _aligner(first, second).tokens(texts[x:y])
-                packed = [pa.array([np.array(ids, np.int32).tobytes() for ids in side], pa.binary()) for side in sides]
+                aligner = _aligner(first, second)
+                sides = zip(aligner.tokens(texts[x:y]), aligner.packed)
+                packed = [pa.array([np.array(ids, kind).tobytes() for ids in side], pa.binary()) for side, kind in sides]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), *packed], ["doc_id", "a", "b"])
 
     return run
@@ -189,10 +192,11 @@ def _tokenize(first: str, second: str):
 def _stretches(aligner: Aligner, table: pa.Table) -> Iterator[tuple[int, Aligned]]:
     """A chunk's documents, aligned some at a time, with the number of the first."""
     a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
-    ids = lambda side: np.frombuffer(b"".join(side), np.int32).astype(np.int64)
-    for x, y in slices([len(t) // 4 for t in a], ALIGNED):
-        sizes = [np.array([len(t) // 4 for t in side[x:y]], np.int64) for side in (a, b)]
-        yield x, aligner.align(ids(a[x:y]), ids(b[x:y]), *sizes)
+    for x, y in slices([len(t) for t in a], ALIGNED):
+        sides = list(zip((a[x:y], b[x:y]), aligner.packed))
+        ids = [np.frombuffer(b"".join(side), kind).astype(np.int64) for side, kind in sides]
+        sizes = [np.array([len(t) // kind.itemsize for t in side], np.int64) for side, kind in sides]
+        yield x, aligner.align(*ids, *sizes)
 
 
 PARTIAL = StructType([StructField(n, LongType()) for n in ("chunk", "pair", "docs")])
