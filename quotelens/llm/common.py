@@ -63,6 +63,32 @@ def dealt(frame: DataFrame, chunks: int) -> DataFrame:
     return table
 
 
+#: Rows of a few numbers each that may be broadcast (about 64 MB); larger tables are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, to be broadcast if a count shows that it has at most ``limit`` rows."""
+    return F.broadcast(frame) if frame.count() <= limit else frame
+
+
+#: A key with more rows than this is joined by broadcast, apart from the others.
+HOT_ROWS = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """Join on a key of ``right`` whose column ``rows`` says how many rows of ``left`` have it.
+
+    Rows of hot keys stay where they are; only the others are shuffled. There is at most one hot key for
+    every ``HOT_ROWS`` rows; should they be too many to broadcast, adaptive execution splits them.
+    """
+    hot = right.where(F.col(rows) > HOT_ROWS)
+    if not 0 < hot.count() <= BROADCAST_ROWS:
+        return left.join(right, key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(rows) <= HOT_ROWS), key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 length of a text; null counts as empty."""
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")

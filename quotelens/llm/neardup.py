@@ -12,7 +12,8 @@ which is the plain Jaccard similarity when no shingle repeats. Documents that sh
 registers are compared exactly, and those of similarity 0.8 or more are linked; a class is a
 connected component of links.
 
-Copies (equal words) become one representative before any banding. A band's bucket is never
+Copies (equal words) become one representative before any banding, and buckets of equal members are
+settled once. A band's bucket is never
 expanded into all pairs: its members are compared with a hub, hubs of large buckets with hubs of
 hubs, and only members that this leaves outside the bucket's largest component are compared with
 the others, inside tasks that return links. Links and components stay tables.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import WORD_BYTES, Fingerprints, byte_values, mix, read, slices, stored
+from .common import WORD_BYTES, Fingerprints, byte_values, hot_join, mix, read, slices, small, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -279,7 +280,7 @@ def torn_links(members: DataFrame, roots: DataFrame, docs: DataFrame, threshold:
     torn = groups.groupBy("key").agg(
         F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("out")
     )
-    apart = stored(placed.join(torn.where("out > 0"), "key"))
+    apart = stored(hot_join(placed, stored(torn.where("out > 0")), "key", "all"))
     texts = stored(docs.join(apart.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
     all_blocks, out_blocks = F.ceil(F.col("all") / ALL_BLOCK), F.ceil(F.col("out") / OUT_BLOCK)
     number = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
@@ -305,10 +306,13 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     signed = stored(rows.mapInArrow(_sign, schema))
     worded = signed.where("_words is not null and _doc is not null")
     # Equal words have equal bands, so any row's bands stand for the copies.
-    copies = stored(worded.groupBy("_words").agg(F.min("_doc").alias("node"), F.min_by("_bands", "_doc").alias("_bands")))
+    copies = stored(worded.groupBy("_words").agg(F.min("_doc").alias("node"), F.min_by("_bands", "_doc").alias("_bands"), F.count("*").alias("_rows")))
     members = copies.select("node", F.explode("_bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("top")).where("n > 1")
-    members = stored(members.join(sizes, "key"))
+    held = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"_set{salt}") for salt in range(2)]
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("top"), *held).where("n > 1")
+    # Buckets of equal members (128 bits tell them apart) ask the same, so one of them stands for all.
+    sizes = stored(sizes.groupBy("n", "top", "_set0", "_set1").agg(F.min("key").alias("key")).select("key", "n", "top"))
+    members = stored(hot_join(members, sizes, "key", "n"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / FAN)))
     hubs = salted.groupBy("key", "salt").agg(F.min("node").alias("hub"), F.first("top").alias("top"))
     near = salted.join(hubs.select("key", "salt", "hub"), ["key", "salt"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
@@ -322,9 +326,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     same = worded.join(several, "_doc").join(copies.select("_words", "node"), "_words").select(F.col("_doc").alias("a"), F.col("node").alias("b"))
     roots = components(links.unionByName(late).unionByName(same.where("a <> b")))
     # Classes are settled per distinct text before rows meet them, so a text of many copies joins by one stored row.
-    settled = stored(copies.join(roots, "node", "left").select("_words", F.coalesce("root", "node").alias("root")))
+    settled = stored(copies.join(roots, "node", "left").select("_words", "_rows", F.coalesce("root", "node").alias("root")))
     kind = docs.schema["doc_id"].dataType
-    return signed.join(settled, "_words", "left").select(
+    return hot_join(signed.select("_doc", "_words"), settled, "_words", "_rows", "left").select(
         F.col("_doc").cast(kind).alias("doc_id"), F.when(F.col("_doc").isNotNull(), F.coalesce("root", "_doc")).cast(kind).alias("class_id")
     )
 
@@ -336,7 +340,8 @@ def keep_one_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """
     classes = stored(near_duplicates(docs, threshold))
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # Texts stay where they are as long as the ids to drop are few enough to broadcast.
+    kept = docs.join(small(stored(gone)), "doc_id", "left_anti")
     twice = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not twice.isEmpty():
         once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
