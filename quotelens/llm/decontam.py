@@ -7,6 +7,7 @@ offsets in the original text. Every document is scanned once.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
-from .common import ascii_words, read
+from .common import ascii_words, numbered, read, small, stored
 
 WINDOW = 10
 #: Benchmark bytes in one automaton (about 100 MB of nodes); a larger benchmark is scanned for in several.
@@ -77,7 +78,7 @@ def spans_of(text: str, words: list[int]) -> list[dict[str, int]]:
     return spans
 
 
-def _scanner(shared, window: int, all_rows: bool):
+def _scanner(shared, window: int):
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +91,8 @@ def _scanner(shared, window: int, all_rows: bool):
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 n, hit, items = scan(text, numbers, automaton)
-                if hit or all_rows:
-                    for column, value in zip(out, (row, n, hit, items, spans_of(text, hit) if hit else [])):
-                        out[column].append(value)
+                for column, value in zip(out, (row, n, hit, items, spans_of(text, hit) if hit else [])):
+                    out[column].append(value)
             key = batch.schema.field(0)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("_row", key.type), *_ARROW]))
 
@@ -120,8 +120,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     work on either side.
 
     The benchmark is the one thing sent to every executor, in blocks whose bytes are added up first.
-    Beyond one block, each block's hits become rows, and a document's rows are united by its number
-    (spans of different blocks may then overlap).
+    Beyond one block, each block's hits become rows, and a document's rows are united by its number; the
+    result is the same whatever the size of a block.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
@@ -130,32 +130,67 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     rows = docs.select("doc_id", "text")
     if n == 1:
         shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
-        hits = rows.mapInArrow(_scanner(shared, window, True), _hits_schema(docs.schema["doc_id"].dataType))
+        hits = rows.mapInArrow(_scanner(shared, window), _hits_schema(docs.schema["doc_id"].dataType))
         return hits.select(
             F.col("_row").alias("doc_id"), "n_words", F.size("words").cast("long").alias("n_hit"), "items", "spans"
         )
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    parts = None
-    for k in range(n):
-        shared = spark.sparkContext.broadcast([tuple(r) for r in items.where(block == k).collect()])
-        part = numbered.select("_row", "text").mapInArrow(_scanner(shared, window, False), _hits_schema(LongType()))
-        parts = part if parts is None else parts.unionByName(part)
-    united = parts.groupBy("_row").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"),
+    # Numbers are stored before any block reads them: computed anew for each block they could differ.
+    counted = numbered(rows.select("*", _n_words("text").alias("n_words")))
+    united = _blockwise(counted, items, n, window).groupBy("_row").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
     )
-    counted = numbered.select("_row", "doc_id", _n_words("text").alias("n_words"))
-    return counted.join(united, "_row", "left").select(
+    # Words of different blocks make one span where they follow each other, as in one block.
+    word = lambda at: F.element_at("places", at)["word"]
+    first = F.filter("places", lambda p, i: (i == 0) | (F.when(i > 0, word(i)) < p["word"] - 1))
+    last = F.filter("places", lambda p, i: (i == F.size("places") - 1) | (F.when(i < F.size("places") - 1, word(i + 2)) > p["word"] + 1))
+    spans = F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+    united = united.select("_row", "items", F.size("places").cast("long").alias("n_hit"), spans.alias("spans"))
+    return counted.select("_row", "doc_id", "n_words").join(united, "_row", "left").select(
         "doc_id",
         "n_words",
-        F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
     )
 
 
+def _places(shared, window: int):
+    """(_row, text) to the hit words with their offsets and the items, for rows with hits."""
+    name = uuid.uuid4().hex
+    schema = pa.schema([("_row", pa.int64()), ("places", pa.list_(pa.struct([(f, pa.int32()) for f in ("word", "start", "end")]))), ("items", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = build(shared.value, window)
+        numbers, automaton = _BUILT[name]
+        for batch in batches:
+            out: dict[str, list] = {f: [] for f in schema.names}
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                _, hit, items = scan(text, numbers, automaton)
+                if hit:
+                    offsets = [m.span() for m in WORD.finditer(text)]
+                    places = [{"word": w, "start": offsets[w][0], "end": offsets[w][1]} for w in hit]
+                    for column, value in zip(schema.names, (row, places, items)):
+                        out[column].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return run
+
+
+def _blockwise(rows: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
+    """Hits of numbered rows in each block of the benchmark; one block at a time is on the driver and the executors."""
+    block, parts = F.pmod(F.xxhash64("item", "text"), F.lit(n)), []
+    for k in range(n):
+        shared = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(block == k).collect()])
+        found = rows.select("_row", "text").mapInArrow(_places(shared, window), "_row long, places array<struct<word:int,start:int,end:int>>, items array<string>")
+        parts.append(stored(found))
+        shared.unpersist()
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _clean(shared, window: int, at: int):
     name = uuid.uuid4().hex
 
@@ -171,16 +206,20 @@ def _clean(shared, window: int, at: int):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of ``docs``, all columns, that hold no benchmark window: a filter where documents are read, once per block."""
+    """Rows of ``docs``, all columns, that hold no benchmark window: a filter where documents are read.
+
+    A benchmark of several blocks is scanned for block by block over the stored, numbered rows.
+    """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     n = max(1, -(-items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block_bytes))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    at = docs.columns.index("text")
-    for k in range(n):
-        shared = spark.sparkContext.broadcast([tuple(r) for r in items.where(block == k).collect()])
-        docs = docs.mapInArrow(_clean(shared, window, at), docs.schema)
-    return docs
+    if n == 1:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        return docs.mapInArrow(_clean(shared, window, docs.columns.index("text")), docs.schema)
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("doc")))
+    texts = rows.select("_row", F.col("doc.text").alias("text"))
+    bad = stored(_blockwise(texts, items, n, window).select("_row").distinct())
+    return rows.join(small(bad), "_row", "left_anti").select("doc.*")
 
 
 def _n_words(text: str):

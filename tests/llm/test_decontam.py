@@ -69,3 +69,24 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contamination(empty(spark), none).count() == 0
     assert decontam.contamination(frame(spark, [(1, "a b")]), none).first().n_words == 2
+
+
+def test_blocks_answer_alike_on_shuffled_input(spark):
+    rnd = random.Random(9)
+    items = [(i, words(rnd, 14)) for i in range(30)]
+    rows = []
+    for d in range(300):
+        # Windows of several items meet: runs of words that only blocks together cover.
+        own = words(rnd, 12).split()
+        for i in rnd.sample(range(30), d % 4):
+            own += items[i][1].split()
+        rows.append((d, " ".join(own)))
+    docs = frame(spark, rows, clash=("_row", "places")).repartition(7)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole, blocks = (
+        sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(r.spans)) for r in decontam.contamination(docs, benchmark, block_bytes=b).collect())
+        for b in (decontam.BLOCK_BYTES, 200)
+    )
+    assert whole == blocks and sum(r[2] > 0 for r in whole) == 225
+    kept = decontam.drop_contaminated(docs, benchmark, block_bytes=200)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in whole if not r[2]}
