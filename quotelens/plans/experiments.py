@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotelens import schema as S
@@ -32,12 +32,24 @@ def _table(spark: SparkSession, rows: Sequence[Mapping], extra: str = "") -> Dat
     return spark.createDataFrame([tuple(row.get(n) for n in names) for row in rows], schema)
 
 
+def split_is(name: str) -> Column:
+    return F.col("split") == name
+
+
 def holdout(frame: DataFrame, candidates: Sequence[Candidate], registry: S.FeatureRegistry) -> tuple[DataFrame, DataFrame]:
-    """Fit on train, score validation: (metrics by MAE, validation predictions)."""
-    train, validation = frame.where("split = 'train'"), frame.where("split = 'validation'")
-    done = [evaluate(c, train, validation, registry) for c in candidates]
-    metrics = _table(frame.sparkSession, [row for row, _ in done]).orderBy("validation_mae", "model_name")
-    return metrics, reduce(DataFrame.unionByName, [scored for _, scored in done])
+    """Fit on train, score validation: (metrics by MAE, validation predictions). Ridge candidates share their passes."""
+    linear = [c for c in candidates if c.family == "ridge"]
+    rows, parts = [], []
+    if linear:
+        rows, scored = evaluate_many(frame, [(c, split_is("train"), split_is("validation"), {}) for c in linear], registry, ["split"])
+        parts.append(scored.drop("job"))
+    for candidate in candidates:
+        if candidate.family != "ridge":
+            row, scored = evaluate(candidate, frame.where(split_is("train")), frame.where(split_is("validation")), registry)
+            rows.append(row)
+            parts.append(scored)
+    metrics = _table(frame.sparkSession, rows).orderBy("validation_mae", "model_name")
+    return metrics, reduce(DataFrame.unionByName, parts)
 
 
 def fold_years(frame: DataFrame, years: S.SplitYears | None, min_train_years: int = 2) -> list[int]:
@@ -50,19 +62,18 @@ FOLD_COLUMNS = "validation_year int, segment string"
 
 
 def _fold_jobs(frame: DataFrame, candidates: Sequence[Candidate], years: S.SplitYears, segment: str | None) -> list[tuple]:
-    if segment:
-        frame = frame.where(F.col("segment") == segment)
+    inside = F.col("segment") == segment if segment else F.lit(True)
     asked = F.col("requested_year")
     return [
-        (c, frame.where(asked < year), frame.where(asked == year), {"validation_year": year, "segment": segment or "global"})
-        for year in fold_years(frame, years)
+        (c, inside & (asked < year), inside & (asked == year), {"validation_year": year, "segment": segment or "global"})
+        for year in fold_years(frame.where(inside), years)
         for c in candidates
     ]
 
 
 def rolling(frame: DataFrame, candidates: Sequence[Candidate], registry: S.FeatureRegistry, years: S.SplitYears) -> DataFrame:
     """Candidates by expanding yearly folds."""
-    rows, _ = evaluate_many(_fold_jobs(frame, candidates, years, None), registry)
+    rows, _ = evaluate_many(frame, _fold_jobs(frame, candidates, years, None), registry, ["requested_year"])
     return _table(frame.sparkSession, rows, FOLD_COLUMNS)
 
 
@@ -71,7 +82,7 @@ def segmented_rolling(
 ) -> DataFrame:
     """Candidates by segment and expanding yearly fold."""
     jobs = [job for segment, grid in candidates.items() for job in _fold_jobs(frame, grid, years, segment)]
-    rows, _ = evaluate_many(jobs, registry)
+    rows, _ = evaluate_many(frame, jobs, registry, ["segment", "requested_year"])
     return _table(frame.sparkSession, rows, FOLD_COLUMNS)
 
 
@@ -85,10 +96,9 @@ def segmented(
     }
     jobs = []
     for segment, grid in candidates.items():
-        part = frame.where(F.col("segment") == segment)
-        train, validation = part.where("split = 'train'"), part.where("split = 'validation'")
-        jobs += [(c, train, validation, {"segment": segment, "train_rows": sizes.get(segment, 0)}) for c in grid]
-    rows, scored = evaluate_many(jobs, registry)
+        inside = F.col("segment") == segment
+        jobs += [(c, inside & split_is("train"), inside & split_is("validation"), {"segment": segment, "train_rows": sizes.get(segment, 0)}) for c in grid]
+    rows, scored = evaluate_many(frame, jobs, registry, ["segment", "split"])
     return _table(frame.sparkSession, rows, "segment string, train_rows bigint"), scored
 
 
@@ -165,25 +175,28 @@ def tune(
 ) -> DataFrame:
     """Seeded random search for the lowest validation MAE: one row per trial.
 
-    Trials are independent Spark jobs submitted from a thread pool, as Spark's own tuners do.
+    Trials of ridge candidates share one pass; the others are independent Spark jobs submitted from a
+    thread pool, as Spark's own tuners do.
     """
     spaces = spaces or SEARCH_SPACES
-    train, validation = frame.where("split = 'train'"), frame.where("split = 'validation'")
     work = []
     for candidate in candidates:
         generator = random.Random(f"{seed}:{candidate.name}")
         for trial in range(trials):
             params = draw_params(spaces[candidate.family], generator)
-            work.append((candidate, trial, params))
+            shown = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
+            labels = {"base_model_name": candidate.name, "trial": trial, "params": shown}
+            work.append((candidate.with_params(f"{candidate.name}#{trial}", **params), labels))
 
     def run(job):
-        candidate, trial, params = job
-        result, _ = evaluate(candidate.with_params(f"{candidate.name}#{trial}", **params), train, validation, registry)
-        shown = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
-        return {**result, "base_model_name": candidate.name, "trial": trial, "params": shown}
+        candidate, labels = job
+        result, _ = evaluate(candidate, frame.where(split_is("train")), frame.where(split_is("validation")), registry)
+        return {**result, **labels}
 
+    linear = [(c, split_is("train"), split_is("validation"), labels) for c, labels in work if c.family == "ridge"]
+    rows = evaluate_many(frame, linear, registry, ["split"])[0] if linear else []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = list(pool.map(run, work))
+        rows += pool.map(run, [job for job in work if job[0].family != "ridge"])
     return _table(frame.sparkSession, rows, "base_model_name string, trial int, params string")
 
 

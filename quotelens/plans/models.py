@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelens import schema as S
@@ -18,6 +18,7 @@ from quotelens.operators import baselines
 from quotelens.operators.encoding import CategoryEncoder, fit_encoder
 from quotelens.operators.metrics import regression_metrics
 from quotelens.operators.ordered import exact_quantiles, null_safe_join
+from quotelens.plans import gram
 from quotelens.session import materialise, scratch_folder
 
 LABEL = "target"
@@ -72,12 +73,13 @@ def stable_candidates(base: Candidate, blocks: Sequence[str] = STABLE_BLOCKS) ->
     return [replace(base, name=f"{base.name.split('__')[0]}__{block}", block=block) for block in blocks]
 
 
-def _estimator(candidate: Candidate, rows: int):
+def _estimator(candidate: Candidate, rows: int, spread: float):
     params = dict(candidate.params)
     common = {"featuresCol": "features", "labelCol": LABEL, "predictionCol": "prediction"}
     if candidate.family == "ridge":
-        # The penalty of the usual objective is divided by the row count in Spark's.
-        return LinearRegression(**common, regParam=params.get("alpha", 5.0) / max(rows, 1), elasticNetParam=0.0, standardization=False)
+        # Against the usual objective, Spark's penalty is divided by the row count and counted in target deviations.
+        # Constant columns send its solver to iterations, so these must go on until nothing moves.
+        return LinearRegression(**common, tol=1e-14, maxIter=2000, regParam=params.get("alpha", 5.0) * spread / max(rows, 1), elasticNetParam=0.0, standardization=False)
     if candidate.family == "forest":
         return RandomForestRegressor(**common, seed=S.SEED, **params)
     if candidate.family == "boosted":
@@ -111,8 +113,8 @@ def build_pipeline(candidate: Candidate, train: DataFrame, registry: S.FeatureRe
         hot = [f"hot_{c}" for c in categorical]
         stages.append(OneHotEncoder(inputCols=outputs, outputCols=hot, dropLast=False, handleInvalid="keep"))
         outputs = hot
-    rows = train.count() if linear else 0
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*inputs, *outputs], outputCol="features"), _estimator(candidate, rows)])
+    rows, spread = train.agg(F.count(LABEL), F.coalesce(F.stddev_pop(LABEL), F.lit(0.0))).head() if linear else (0, 0.0)
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*inputs, *outputs], outputCol="features"), _estimator(candidate, rows, spread)])
 
 
 @dataclass
@@ -204,18 +206,26 @@ def evaluate(candidate: Candidate, train: DataFrame, validation: DataFrame, regi
 
 
 def evaluate_many(
-    jobs: Sequence[tuple[Candidate, DataFrame, DataFrame, dict]], registry: S.FeatureRegistry
+    frame: DataFrame, jobs: Sequence[tuple[Candidate, Column, Column, dict]], registry: S.FeatureRegistry, by: Sequence[str]
 ) -> tuple[list[dict], DataFrame]:
-    """Fit each (candidate, train, validation, labels), then score and measure all in one job.
+    """Fit each (candidate, train condition, validation condition, labels), then score and measure all in one job.
 
-    Returns one row per job, labels included, and the predictions with their job number.
+    Conditions use the columns ``by`` only, which have few values. Ridge candidates share one pass over
+    the rows (see ``gram``) and report equal shares of its time. Returns one row per job, labels
+    included, and the predictions with their job number; a ridge without training rows has neither.
     """
-    fits, parts = [], []
+    linear = [(n, c, train, validation) for n, (c, train, validation, _) in enumerate(jobs) if c.family == "ridge"]
+    started = time.perf_counter()
+    grid = gram.fit_grid(frame, linear, registry, by) if linear else None
+    together = {n for n, *_ in linear} if grid else set()
+    fits = dict.fromkeys(together, (time.perf_counter() - started) / max(len(together), 1))
+    parts = [gram.score_grid(grid, frame, {n: c.name for n, c, *_ in linear})] if grid and grid.fits else []
     for number, (candidate, train, validation, _) in enumerate(jobs):
-        started = time.perf_counter()
-        fitted = fit(candidate, train, registry)
-        fits.append(time.perf_counter() - started)
-        parts.append(predictions(fitted, validation).withColumn("job", F.lit(number)))
+        if number not in together:
+            started = time.perf_counter()
+            fitted = fit(candidate, frame.where(train), registry)
+            fits[number] = time.perf_counter() - started
+            parts.append(predictions(fitted, frame.where(validation)).withColumn("job", F.lit(number)))
     scored = reduce(DataFrame.unionByName, parts)
     measured = {row["job"]: row for row in regression_metrics(scored, ["job"]).collect()}
     rows = [
