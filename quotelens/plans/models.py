@@ -79,7 +79,7 @@ def _estimator(candidate: Candidate, rows: int, spread: float):
     if candidate.family == "ridge":
         # Against the usual objective, Spark's penalty is divided by the row count and counted in target deviations.
         # Constant columns send its solver to iterations, so these must go on until nothing moves.
-        return LinearRegression(**common, tol=1e-14, maxIter=2000, regParam=params.get("alpha", 5.0) * spread / max(rows, 1), elasticNetParam=0.0, standardization=False)
+        return LinearRegression(**common, tol=1e-10, maxIter=1000, regParam=params.get("alpha", 5.0) * spread / max(rows, 1), elasticNetParam=0.0, standardization=False)
     if candidate.family == "forest":
         return RandomForestRegressor(**common, seed=S.SEED, **params)
     if candidate.family == "boosted":
