@@ -13,8 +13,10 @@ the dictionary down to single positions:
 3. suffixes: the strings that are left, and those of elected stretches, are compared one by one.
 
 Only equality of suffixes up to ``length`` bytes is needed, so each level is sorted by fingerprints
-within buckets, not by letters across the corpus: fingerprints have 64 bits besides those that
-choose the bucket. Every chunk of documents sends each bucket a sorted list without repeats (so a
+within buckets, not by letters across the corpus. A fingerprint mixes two polynomials over the field
+of 2^61 - 1 elements with independent random bases, so no pattern of bytes makes different strings
+agree: two given strings of n bytes do with a chance of n / 2^61 in each; what travels is 64 bits
+beside those that choose the bucket. Every chunk of documents sends each bucket a sorted list without repeats (so a
 passage that millions of documents share is at most one entry per chunk), and gets back two bits per
 entry: whether another chunk has it, and whether this chunk is the one elected. Texts are dealt out
 to chunks once, in a bucketed table that all levels read without a further shuffle.
@@ -23,7 +25,6 @@ to chunks once, in a bucketed table that all levels read without a further shuff
 from __future__ import annotations
 
 import hashlib
-import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -33,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import Fingerprints, byte_values, mix, read, scratch_folder, slices, stored
+from .common import Fingerprints, byte_values, dealt, mix, read, slices, stored, total_bytes
 
 LENGTH = 200
 TRIGGER, MODULUS = 12, 24
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
-MAX_TABLE_BUCKETS = 10_000
 STRETCH, MARGIN = 2 << 20, 4096
-_FIRST, _SECOND = byte_values(21), byte_values(22)
+_TRIGGER = byte_values(21)
+PRIME = (1 << 61) - 1
+#: Random bases, drawn once and for all.
+BASES = [int(b) for b in np.random.default_rng(2161).integers(1 << 32, PRIME - 1, 2, dtype=np.int64)]
 LISTS = StructType([StructField("bucket", LongType()), StructField("chunk", LongType()), StructField("level", IntegerType()), StructField("entries", BinaryType())])
 MARKS = StructType([*LISTS.fields[:3], StructField("shared", BinaryType()), StructField("elected", BinaryType())])
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
@@ -78,15 +81,70 @@ def stretches(texts: list[bytes], length: int):
                 yield Stretch(part, [(long[a], first, 0, len(part))], s - first, min(s + STRETCH, len(text)) - first)
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, for numbers below it."""
+    low = np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    middle = a1 * b0 + a0 * b1
+    total = (a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0
+    return reduced(total)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit number modulo 2^61 - 1."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def field_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^0 .. base^(n-1) in the field, as high and low 32 bits; the longest table asked for is kept."""
+    known = _TABLES.get(base)
+    if known is None or len(known[0]) < n:
+        power = np.ones(1, np.uint64)
+        while len(power) < n:
+            power = np.concatenate([power, times(power, np.full(len(power), pow(base, len(power), PRIME), np.uint64))])
+        known = (power[:n] >> np.uint64(32)).astype(np.uint32), (power[:n] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        _TABLES[base] = known
+    return known[0][:n], known[1][:n]
+
+
+class FieldFingerprints:
+    """Polynomials of any span of a byte array over the field, for one base.
+
+    Prefix sums are kept in two halves that cannot overflow (a byte times 32 bits, a stretch long). A
+    span is brought to one place by multiplying with base^(room - start), the same ``room`` for all.
+    """
+
+    def __init__(self, data: np.ndarray, base: int, room: int):
+        if len(data) > room:
+            raise ValueError("a stretch is longer than its room")
+        self.powers = field_powers(base, room + 1)
+        self.room = room
+        byte = data.astype(np.uint64) + np.uint64(1)
+        self.sums = []
+        for half in self.powers:
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(byte * half[: len(data)], out=sums[1:])
+            self.sums.append(sums)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        high, low = (reduced(s[end] - s[start]) for s in self.sums)
+        raw = reduced(times(high, np.full(len(high), 1 << 32, np.uint64)) + low)
+        shift = [half[self.room - start].astype(np.uint64) for half in self.powers]
+        return times(raw, (shift[0] << np.uint64(32)) | shift[1])
+
+
 class Parse:
     """Triggers, phrases and the strings' place among them, for one stretch."""
 
     def __init__(self, stretch: Stretch, length: int, buckets: int):
         self.stretch, self.length, self.buckets = stretch, length, buckets
         data, n = stretch.data, len(stretch.data)
-        self.first = Fingerprints(data, _FIRST)
-        self._second: Fingerprints | None = None
-        rolled = self.first.rolling(TRIGGER)
+        self._fields: list[FieldFingerprints] | None = None
+        rolled = Fingerprints(data, _TRIGGER).rolling(TRIGGER)
         ends = np.array([d[3] for d in stretch.docs])
         starts = np.array([d[2] for d in stretch.docs])
         sizes = ends - starts
@@ -110,15 +168,15 @@ class Parse:
         self.inside = until[self.strings + TRIGGER - 1] if len(self.strings) else span
         self.last = until[self.strings + length] - 1 if len(self.strings) else span
 
-    @property
-    def second(self) -> Fingerprints:
-        if self._second is None:
-            self._second = Fingerprints(self.stretch.data, _SECOND)
-        return self._second
-
     def entries(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets and fingerprints of spans; the two are independent."""
-        return (mix(self.second.of(start, end)) % np.uint64(self.buckets)).astype(np.int64), self.first.of(start, end)
+        """Buckets and fingerprints of spans, two different mixtures of both polynomials and the length."""
+        if self._fields is None:
+            room = STRETCH + 2 * MARGIN + self.length
+            self._fields = [FieldFingerprints(self.stretch.data, base, room) for base in BASES]
+        one, two = (field.of(start, end) for field in self._fields)
+        with np.errstate(over="ignore"):
+            size = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            return (mix(two + mix(one + size)) % np.uint64(self.buckets)).astype(np.int64), mix(one ^ mix(two ^ size))
 
     def phrases(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Numbers of the phrases that belong here (by their start), and their entries for all phrases."""
@@ -336,18 +394,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: bool = False, ch
     A byte goes when a string of ``length`` bytes over it also starts anywhere else, in this
     document or another; strings never cross documents, and are judged on the input as it is. Null
     texts are empty, rows with a null or repeated doc_id are documents like others, other columns
-    are ignored, and an empty table gives an empty one. Rows equal in doc_id and text go to one
-    chunk.
+    are ignored, and an empty table gives an empty one. Rows are dealt out by number, so equal rows
+    spread over all chunks.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total = total_bytes(docs)
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
-    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")
-    dealt = docs.select("doc_id", F.col("text").cast("binary").alias("data"), number.alias("chunk"))
-    files = min(chunks, MAX_TABLE_BUCKETS)
-    name = f"llm_chunks_{uuid.uuid4().hex}"
-    dealt.repartition(files, "chunk").write.bucketBy(files, "chunk").option("path", scratch_folder(spark)).saveAsTable(name)
-    texts = spark.table(name)
+    texts = dealt(docs.select("doc_id", F.col("text").cast("binary").alias("data")), chunks)
     marks = None
     for level in range(3):
         step = _descend(length, buckets, level)

@@ -83,3 +83,64 @@ def test_triggers_at_document_ends(spark):
 
 def test_empty_table(spark):
     assert substrings.repeated_spans(empty(spark)).collect() == []
+
+
+def thue_morse_pair():
+    """Two texts, equal but for every 16th byte of their middle, which follows the bits' parity in one and the opposite in the other.
+
+    Polynomials modulo a power of two cannot tell such middles apart. No window triggers, so whole stretches are compared.
+    """
+    rnd = np.random.default_rng(12)
+    parity = [bin(i).count("1") % 2 for i in range(256)]
+    texts = [bytearray(), bytearray()]
+
+    def triggers(text):
+        tail = np.frombuffer(bytes(text[-substrings.TRIGGER :]), np.uint8)
+        return len(tail) == substrings.TRIGGER and substrings.Fingerprints(tail, substrings._TRIGGER).rolling(substrings.TRIGGER)[0] % substrings.MODULUS == 0
+
+    at = 0
+    while at < 5296:
+        inside = 600 <= at < 4696 and (at - 600) % 16 == 15
+        for _ in range(60):
+            pick = rnd.integers(97, 123)
+            for i, text in enumerate(texts):
+                text.append((65 + (parity[(at - 600) // 16] ^ i)) if inside else int(pick))
+            if not any(map(triggers, texts)):
+                at += 1
+                break
+            for text in texts:
+                text.pop()
+        else:
+            # Dead end: take other letters for the last ones.
+            back = min(at, 8)
+            for text in texts:
+                del text[len(text) - back :]
+            at -= back
+    return [t.decode() for t in texts]
+
+
+def test_patterns_that_fool_polynomials_modulo_powers_of_two(spark):
+    rows = list(enumerate(thue_morse_pair()))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in substrings.repeated_spans(frame(spark, rows)).collect()}
+    # Before the middle's first byte that differs, and after its last.
+    assert got == {i: [(0, 615), (4696, 5296)] for i in range(2)}
+
+
+def test_equal_rows_spread_over_chunks(spark):
+    rows = [(1, "x" * 150 + "same text " * 10)] * 400
+    found = substrings.repeated_spans(frame(spark, rows), chunk_bytes=5000)
+    assert [(r.n_bytes, [(s.start, s.end) for s in r.spans]) for r in found.collect()] == [(250, [(0, 250)])] * 400
+
+
+def test_field_arithmetic():
+    rnd = np.random.default_rng(3)
+    a, b = (rnd.integers(0, substrings.PRIME, 1000, dtype=np.uint64) for _ in range(2))
+    assert substrings.times(a, b).tolist() == [int(x) * int(y) % substrings.PRIME for x, y in zip(a, b)]
+    data = rnd.integers(0, 256, 5000).astype(np.uint8)
+    field = substrings.FieldFingerprints(data, substrings.BASES[0], 6000)
+    start = rnd.integers(0, 4000, 50)
+    end = start + rnd.integers(0, 1000, 50)
+    shifted = substrings.FieldFingerprints(np.concatenate([data[:777], data]), substrings.BASES[0], 6000)
+    assert field.of(start, end).tolist() == shifted.of(start + 777, end + 777).tolist()
+    slow = [sum((int(data[i]) + 1) * pow(substrings.BASES[0], int(i + 6000 - s), substrings.PRIME) for i in range(s, e)) % substrings.PRIME for s, e in zip(start, end)]
+    assert field.of(start, end).tolist() == slow
