@@ -13,10 +13,10 @@ the dictionary down to single positions:
 3. suffixes: the strings that are left, and those of elected stretches, are compared one by one.
 
 Only equality of suffixes up to ``length`` bytes is needed, so each level is sorted by fingerprints
-within buckets, not by letters across the corpus. A fingerprint mixes two polynomials over the field
-of 2^61 - 1 elements with independent random bases, so no pattern of bytes makes different strings
-agree: two given strings of n bytes do with a chance of n / 2^61 in each; what travels is 64 bits
-beside those that choose the bucket. Every chunk of documents sends each bucket a sorted list without repeats (so a
+within buckets, not by letters across the corpus. A fingerprint mixes three polynomials over the field
+of 2^31 - 1 elements with independent random bases, so no pattern of bytes makes different strings
+agree: two given strings of n bytes do with a chance of (n / 2^31)^3 at most, 2^-69 for 230 bytes;
+what travels is 64 bits beside those that choose the bucket. Every chunk of documents sends each bucket a sorted list without repeats (so a
 passage that millions of documents share is at most one entry per chunk), and gets back two bits per
 entry: whether another chunk has it, and whether this chunk is the one elected. Texts are dealt out
 to chunks once, in a bucketed table that all levels read without a further shuffle.
@@ -40,11 +40,12 @@ LENGTH = 200
 TRIGGER, MODULUS = 12, 24
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
-STRETCH, MARGIN = 2 << 20, 4096
-_TRIGGER = byte_values(21)
-PRIME = (1 << 61) - 1
+#: Texts are parsed in stretches whose arrays fit a processor's cache.
+STRETCH, MARGIN = 1 << 17, 4096
+_TRIGGER, _ODD = byte_values(21), 0xD6E8FEB86659FD93
+PRIME = (1 << 31) - 1
 #: Random bases, drawn once and for all.
-BASES = [int(b) for b in np.random.default_rng(2161).integers(1 << 32, PRIME - 1, 2, dtype=np.int64)]
+BASES = [int(b) for b in np.random.default_rng(2161).integers(1 << 16, PRIME - 1, 3)]
 LISTS = StructType([StructField("bucket", LongType()), StructField("chunk", LongType()), StructField("level", IntegerType()), StructField("entries", BinaryType())])
 MARKS = StructType([*LISTS.fields[:3], StructField("shared", BinaryType()), StructField("elected", BinaryType())])
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
@@ -81,60 +82,57 @@ def stretches(texts: list[bytes], length: int):
                 yield Stretch(part, [(long[a], first, 0, len(part))], s - first, min(s + STRETCH, len(text)) - first)
 
 
-def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo 2^61 - 1, for numbers below it."""
-    low = np.uint64((1 << 31) - 1)
-    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
-    middle = a1 * b0 + a0 * b1
-    total = (a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0
-    return reduced(total)
-
-
 def reduced(x: np.ndarray) -> np.ndarray:
-    """Any 64-bit number modulo 2^61 - 1."""
-    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    """Numbers below 2^62 modulo 2^31 - 1."""
+    for _ in range(2):
+        x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
     return np.where(x >= PRIME, x - np.uint64(PRIME), x)
 
 
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TABLES: dict[int, np.ndarray] = {}
 
 
-def field_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^0 .. base^(n-1) in the field, as high and low 32 bits; the longest table asked for is kept."""
+def field_powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) in the field; the longest table asked for is kept."""
     known = _TABLES.get(base)
-    if known is None or len(known[0]) < n:
-        power = np.ones(1, np.uint64)
-        while len(power) < n:
-            power = np.concatenate([power, times(power, np.full(len(power), pow(base, len(power), PRIME), np.uint64))])
-        known = (power[:n] >> np.uint64(32)).astype(np.uint32), (power[:n] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    if known is None or len(known) < n:
+        known = np.ones(1, np.uint64)
+        while len(known) < n:
+            known = np.concatenate([known, reduced(known * np.uint64(pow(base, len(known), PRIME)))])
         _TABLES[base] = known
-    return known[0][:n], known[1][:n]
+    return known[:n]
 
 
 class FieldFingerprints:
-    """Polynomials of any span of a byte array over the field, for one base.
+    """Polynomials of any span of a byte array over the field, one for each base.
 
-    Prefix sums are kept in two halves that cannot overflow (a byte times 32 bits, a stretch long). A
-    span is brought to one place by multiplying with base^(room - start), the same ``room`` for all.
+    Prefix sums cannot overflow: a byte times 31 bits, a stretch long. A span is brought to one place by
+    multiplying with base^(room - start), the same ``room`` for all.
     """
 
-    def __init__(self, data: np.ndarray, base: int, room: int):
-        if len(data) > room:
+    def __init__(self, data: np.ndarray, room: int):
+        if len(data) > room or room >= 1 << 22:
             raise ValueError("a stretch is longer than its room")
-        self.powers = field_powers(base, room + 1)
         self.room = room
         byte = data.astype(np.uint64) + np.uint64(1)
         self.sums = []
-        for half in self.powers:
+        for base in BASES:
             sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(byte * half[: len(data)], out=sums[1:])
+            np.cumsum(byte * field_powers(base, room + 1)[: len(data)], out=sums[1:])
             self.sums.append(sums)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        high, low = (reduced(s[end] - s[start]) for s in self.sums)
-        raw = reduced(times(high, np.full(len(high), 1 << 32, np.uint64)) + low)
-        shift = [half[self.room - start].astype(np.uint64) for half in self.powers]
-        return times(raw, (shift[0] << np.uint64(32)) | shift[1])
+    def of(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        shift = self.room - start
+        return [reduced(reduced(s[end] - s[start]) * field_powers(base, self.room + 1)[shift]) for base, s in zip(BASES, self.sums)]
+
+
+def triggers(data: np.ndarray) -> np.ndarray:
+    """For each window of TRIGGER bytes whether it triggers: one in MODULUS does, by a rolling polynomial."""
+    rolling = Fingerprints(data, _TRIGGER)
+    n = max(0, len(data) - TRIGGER + 1)
+    with np.errstate(over="ignore"):
+        place = (rolling.sums[TRIGGER:] - rolling.sums[:n]) * rolling.back[:n] * np.uint64(_ODD)
+    return place < np.uint64(2**64 // MODULUS)
 
 
 class Parse:
@@ -143,8 +141,7 @@ class Parse:
     def __init__(self, stretch: Stretch, length: int, buckets: int):
         self.stretch, self.length, self.buckets = stretch, length, buckets
         data, n = stretch.data, len(stretch.data)
-        self._fields: list[FieldFingerprints] | None = None
-        rolled = Fingerprints(data, _TRIGGER).rolling(TRIGGER)
+        self._fields: FieldFingerprints | None = None
         ends = np.array([d[3] for d in stretch.docs])
         starts = np.array([d[2] for d in stretch.docs])
         sizes = ends - starts
@@ -156,7 +153,7 @@ class Parse:
             fits[np.minimum(starts + k, n)] = False
         fits[:TRIGGER] = False
         hit = np.zeros(n + 1, bool)
-        hit[TRIGGER:] = rolled % np.uint64(MODULUS) == 0
+        hit[TRIGGER:] = triggers(data)
         hit &= fits
         self.at = np.flatnonzero(hit)
         until = np.cumsum(hit, dtype=np.int32)
@@ -171,12 +168,12 @@ class Parse:
     def entries(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets and fingerprints of spans, two different mixtures of both polynomials and the length."""
         if self._fields is None:
-            room = STRETCH + 2 * MARGIN + self.length
-            self._fields = [FieldFingerprints(self.stretch.data, base, room) for base in BASES]
-        one, two = (field.of(start, end) for field in self._fields)
+            self._fields = FieldFingerprints(self.stretch.data, STRETCH + 2 * MARGIN + self.length)
+        one, two, three = self._fields.of(start, end)
         with np.errstate(over="ignore"):
-            size = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            return (mix(two + mix(one + size)) % np.uint64(self.buckets)).astype(np.int64), mix(one ^ mix(two ^ size))
+            # 93 bits and the length in two words, mixed in two ways.
+            left, right = one | (two << np.uint64(32)), three | ((end - start).astype(np.uint64) << np.uint64(32))
+            return (mix(right + mix(left)) % np.uint64(self.buckets)).astype(np.int64), mix(left ^ mix(right ^ np.uint64(_ODD)))
 
     def phrases(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Numbers of the phrases that belong here (by their start), and their entries for all phrases."""

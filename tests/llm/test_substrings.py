@@ -96,7 +96,7 @@ def thue_morse_pair():
 
     def triggers(text):
         tail = np.frombuffer(bytes(text[-substrings.TRIGGER :]), np.uint8)
-        return len(tail) == substrings.TRIGGER and substrings.Fingerprints(tail, substrings._TRIGGER).rolling(substrings.TRIGGER)[0] % substrings.MODULUS == 0
+        return len(tail) == substrings.TRIGGER and substrings.triggers(tail)[0]
 
     at = 0
     while at < 5296:
@@ -134,13 +134,13 @@ def test_equal_rows_spread_over_chunks(spark):
 
 def test_field_arithmetic():
     rnd = np.random.default_rng(3)
-    a, b = (rnd.integers(0, substrings.PRIME, 1000, dtype=np.uint64) for _ in range(2))
-    assert substrings.times(a, b).tolist() == [int(x) * int(y) % substrings.PRIME for x, y in zip(a, b)]
+    x = rnd.integers(0, 2**62, 1000, dtype=np.uint64)
+    assert substrings.reduced(x).tolist() == [int(v) % substrings.PRIME for v in x]
     data = rnd.integers(0, 256, 5000).astype(np.uint8)
-    field = substrings.FieldFingerprints(data, substrings.BASES[0], 6000)
     start = rnd.integers(0, 4000, 50)
     end = start + rnd.integers(0, 1000, 50)
-    shifted = substrings.FieldFingerprints(np.concatenate([data[:777], data]), substrings.BASES[0], 6000)
-    assert field.of(start, end).tolist() == shifted.of(start + 777, end + 777).tolist()
-    slow = [sum((int(data[i]) + 1) * pow(substrings.BASES[0], int(i + 6000 - s), substrings.PRIME) for i in range(s, e)) % substrings.PRIME for s, e in zip(start, end)]
-    assert field.of(start, end).tolist() == slow
+    found = substrings.FieldFingerprints(data, 6000).of(start, end)
+    shifted = substrings.FieldFingerprints(np.concatenate([data[:777], data]), 6000).of(start + 777, end + 777)
+    for base, one, two in zip(substrings.BASES, found, shifted):
+        slow = [sum((int(data[i]) + 1) * pow(base, int(i + 6000 - s), substrings.PRIME) for i in range(s, e)) % substrings.PRIME for s, e in zip(start, end)]
+        assert one.tolist() == two.tolist() == slow
