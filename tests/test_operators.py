@@ -87,17 +87,17 @@ def test_chunked_windows_match_pandas(spark):
 def test_golden_feature_row_sees_no_future(spark):
     row = feature_table(
         quotes(spark, {}),
-        series(spark, ("2024-01-01", "AAA", 0.2), ("2024-01-20", "AAA", 0.9)),
+        series(spark, ("2024-01-02", "AAA", 0.18), ("2024-01-20", "AAA", 0.9)),
         dimension(spark, ("AAA", "Sector", 0.25)),
         registry=S.FeatureRegistry(("AAA", "BBB")),
         include_target=False,
     ).head().asDict()
     want = {
-        "realized_vol_63d_mean": 0.2, "basket_realized_vol_21d_mean": 0.2, "basket_realized_vol_trend_mean": 0.0, "barrier_gap_pct": 0.4,
-        "autocall_barrier_above_par_pct": 0.0, "protection_buffer_pct": 0.4, "autocall_to_protection_ratio": 1 / 0.6, "no_call_observation_count": 3.0,
+        "realized_vol_63d_mean": 0.18, "basket_realized_vol_21d_mean": 0.18, "basket_realized_vol_trend_mean": 0.0, "barrier_gap_pct": 0.4,
+        "autocall_barrier_above_par_pct": -0.05, "protection_buffer_pct": 0.45, "autocall_to_protection_ratio": 0.95 / 0.55, "no_call_observation_count": 4.0,
         "is_single_underlying": 1, "is_worst_of": 0, "basket_complexity_score": 0, "worst_of_pressure": 0, "sector_concentration": 1.0,
-        "has_multiple_sectors": 0, "quoted_minus_structural_vol_mean": 0.05, "realized_minus_structural_vol_mean": -0.05,
-        "realized_to_structural_vol_ratio": 0.8, "quoted_to_realized_vol_ratio": 1.5, "quoted_to_structural_vol_ratio": 1.2,
+        "has_multiple_sectors": 0, "quoted_minus_structural_vol_mean": 0.02, "realized_minus_structural_vol_mean": -0.07,
+        "realized_to_structural_vol_ratio": 0.72, "quoted_to_realized_vol_ratio": 1.5, "quoted_to_structural_vol_ratio": 1.08,
         "realized_vol_dispersion_ratio": 0.0, "structural_vol_dispersion_ratio": 0.0, "realized_vol_63d_top2_spread": 0.0,
         "structural_base_vol_top2_spread": 0.0, "is_daily_observation": 0, "underlying_AAA": 1, "pair_AAA_BBB": 0,
     }
@@ -155,7 +155,7 @@ def test_validation_report_and_fail_fast(spark):
     [
         ({}, None),
         ({"underlyings": " aaa "}, None),
-        ({"end_date": "2024-01-15", "no_call_period_months": 0}, "date_order"),
+        ({"end_date": "2024-01-12", "no_call_period_months": 0}, "date_order"),
         ({"requested_date": "2024-01-16"}, "requested_after_start"),
         ({"no_call_period_months": 80}, "no_call_beyond_maturity"),
         ({"underlyings": "AAA|aaa", "basket_type": "worst_of"}, "duplicate_members"),
@@ -269,4 +269,4 @@ def test_coverage_reasons(spark):
 def test_out_of_range_message(spark):
     ranges = scoring.request_ranges(quotes(spark, {}, {"notional_credits": 250000.0}), series(spark, ("2024-01-10", "AAA", 0.2)))
     row = scoring.ood_flags(quotes(spark, {"notional_credits": 1500000.0}), ranges).head()
-    assert row["out_of_distribution"] and row["warnings"] == ["notional_credits=1.5e+06 is outside the training range [100000, 250000]"]
+    assert row["out_of_distribution"] and row["warnings"] == ["notional_credits=1.5e+06 is outside the training range [120000, 250000]"]
