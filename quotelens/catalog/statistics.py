@@ -104,7 +104,7 @@ def categorical_drift(d):
     return drift.categorical_drift(d.supervised, TEXT, COMPARED)
 
 
-_DIRTY = ["counterparty", "executed", "avg_duration_months", "product_type"]
+_DIRTY = [f.name for f in S.QUOTES.fields]
 cte("dirty_split_v", "SELECT *, CASE WHEN year(requested_date) <= 1998 THEN 'train' WHEN year(requested_date) = 1999 THEN 'validation' ELSE 'test' END AS split FROM dirty_quotes_v")
 cte(
     "missing_v",
