@@ -59,6 +59,9 @@ def _rounds(rows: DataFrame, bits: int, floor: int, limit: int) -> tuple[list[Da
         depth, floor = min(bits, depth + ROUND_BITS), depth + 1
 
 
+_WORKING = ("_bytes", "_hash", "_cell", "_prefix", "_place", "_n", "_leaf")
+
+
 def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Add ``n_bytes``, ``shard`` (its bits as text), ``depth``, ``shard_bytes`` and ``oversized`` to every row.
 
@@ -68,10 +71,14 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text
     rows that share a key (beyond 40 equal bits) are split on further bits taken from their place in
     a stored table; a row larger than the limit can't share and gets a shard of its own, named
     ``big-<key>-<n>`` and marked oversized. Columns of the input with the names of added columns are
-    replaced. An empty input gives an empty result.
+    replaced; other columns are kept, whatever their names. More rows of one key than 20 further bits
+    can part raise a ValueError. An empty input gives an empty result.
     """
     added = ("n_bytes", "shard", "depth", "shard_bytes", "oversized")
     base = docs.drop(*added)
+    # Columns that have the names of working columns step aside meanwhile.
+    aside = {c: f"_aside{i}_of_{len(base.columns)}{c}" for i, c in enumerate(base.columns) if c.lower() in _WORKING}
+    base, key, text = base.withColumnsRenamed(aside), aside.get(key, key), aside.get(text, text)
     known = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     rows = base.withColumns({"_bytes": text_bytes(text), "_hash": _hash_bits(known)})
     big = (
@@ -103,7 +110,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text
     result = out[0].select(*columns)
     for part in out[1:]:
         result = result.unionByName(part.select(*columns))
-    return result
+    return result.withColumnsRenamed({new: old for old, new in aside.items()})
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

@@ -169,23 +169,6 @@ class Transducer:
             return StateMap(a.head, a.count + self.emit(self.units.findall(m.head)) + m.count, m.tail, False)
         return StateMap(a.head, a.count + self.emit(self.units.findall(a.tail + b.head)) + b.count, b.tail, False)
 
-    def join(self, a: StateMap, b: StateMap) -> StateMap:
-        """The map of a followed by b."""
-        if a.open and b.open:
-            return self.chunk(a.head + b.head)
-        if a.open:
-            m = self.chunk(a.head + b.head)
-            return StateMap(m.head, m.count + self.emit(self.units.findall(m.tail)) + b.count, b.tail, False) if not m.open else StateMap(m.head, b.count, b.tail, False)
-        if b.open:
-            m = self.chunk(a.tail + b.head)
-            if m.open:
-                return StateMap(a.head, a.count, m.head, False)
-            return StateMap(a.head, a.count + self.emit(self.units.findall(m.head)) + m.count, m.tail, False)
-        return StateMap(a.head, a.count + self.emit(self.units.findall(a.tail + b.head)) + b.count, b.tail, False)
-
-    def _again(self, text: str) -> StateMap:
-        return self.chunk(text)
-
     def scan(self, maps: list[StateMap]) -> StateMap:
         """Compose maps in pairs, level by level."""
         while len(maps) > 1:

@@ -46,3 +46,12 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), limit=200)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and back.groupBy("shard").sum("n_bytes").where("`sum(n_bytes)` > 200").isEmpty()
+
+
+def test_columns_with_names_of_working_columns_are_kept(spark):
+    names = ("_hash", "_bytes", "_cell", "_prefix", "_place", "_n", "_leaf")
+    rows = [(i, "x" * (i % 40)) for i in range(100)] + [(5, "same")] * 30 + [(200, "y" * 900)]
+    found = sharding.assign_shards(frame(spark, rows, clash=names), 60)
+    assert found.columns[5:12] == list(names)
+    got = found.collect()
+    assert len(got) == len(rows) and all(r[n] == "x" for r in got for n in names)
