@@ -20,7 +20,7 @@ from quotelens.plans.models import SEGMENT_BLOCKS, Candidate, default_candidates
 
 RIDGE = Candidate("ridge_onehot", "ridge", "compact_core", "onehot", {"alpha": 5.0})
 RIDGE_ORDINAL = Candidate("ridge_ordinal", "ridge", "all_without_commercial", "ordinal", {"alpha": 5.0})
-FOREST = Candidate("forest_onehot", "forest", "compact_core", "onehot", {"numTrees": 200, "minInstancesPerNode": 8, "featureSubsetStrategy": "0.8"})
+FOREST = Candidate("forest_onehot", "forest", "compact_core", "onehot", {"numTrees": 200, "minInstancesPerNode": 8, "featureShare": 0.8})
 BOOSTED = Candidate("boosted_native__compact_core", "boosted", "compact_core", "native", {"maxIter": 350, "maxDepth": 6, "stepSize": 0.05, "lossType": "absolute"})
 BOOSTED_SQUARED = Candidate("boosted_squared__compact_core", "boosted", "compact_core", "ordinal", {"maxIter": 250, "maxDepth": 5, "stepSize": 0.05, "lossType": "squared"})
 MEAN = Candidate("global_mean", "constant", params={"strategy": "mean"})

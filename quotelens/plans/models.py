@@ -1,4 +1,4 @@
-"""Candidate regressors: baselines as joins, learners as Spark ML pipelines."""
+"""Candidate regressors: baselines as joins, learners as Spark ML pipelines, with a forest of our own (``trees``)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from quotelens.operators.encoding import CategoryEncoder, fit_encoder
 from quotelens.operators.metrics import regression_metrics
 from quotelens.operators.ordered import exact_quantiles, null_safe_join
 from quotelens.plans import gram
+from quotelens.plans.trees import RandomTrees
 from quotelens.session import materialise, scratch_folder
 
 LABEL = "target"
@@ -48,7 +49,7 @@ def default_candidates(trees: int | None = None) -> list[Candidate]:
         *[Candidate(name, "group_median", "all_without_commercial", keys=keys) for name, keys in S.BASELINE_KEYS.items()],
         Candidate("ridge_onehot", "ridge", encoding="onehot", params={"alpha": 5.0}),
         Candidate("ridge_ordinal", "ridge", encoding="ordinal", params={"alpha": 5.0}),
-        Candidate("forest_onehot", "forest", encoding="onehot", params={"numTrees": trees or 200, "minInstancesPerNode": 8, "featureSubsetStrategy": "0.8"}),
+        Candidate("forest_onehot", "forest", encoding="onehot", params={"numTrees": trees or 200, "minInstancesPerNode": 8, "featureShare": 0.8}),
         Candidate("boosted_squared__all_without_commercial", "boosted", params={**boosted, "maxIter": trees or 250, "lossType": "squared"}),
         Candidate("boosted_native__all_without_commercial", "boosted", encoding="native", params={**boosted, "maxDepth": 6}),
         Candidate("boosted_ordinal__all_without_commercial", "boosted", params={**boosted, "subsamplingRate": 0.9}),
@@ -81,7 +82,7 @@ def _estimator(candidate: Candidate, rows: int, spread: float):
         # Constant columns send its solver to iterations, so these must go on until nothing moves.
         return LinearRegression(**common, tol=1e-10, maxIter=1000, regParam=params.get("alpha", 5.0) * spread / max(rows, 1), elasticNetParam=0.0, standardization=False)
     if candidate.family == "forest":
-        return RandomForestRegressor(**common, seed=S.SEED, **params)
+        return RandomTrees(**common, seed=S.SEED, **params)
     if candidate.family == "boosted":
         return GBTRegressor(**common, seed=S.SEED, **params)
     raise ValueError(f"unknown model family {candidate.family!r}")
