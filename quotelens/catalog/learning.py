@@ -127,6 +127,13 @@ def permutation_importance(d):
     return experiments.permutation_importance(fitted, frame.where("split = 'test'"), d.registry)
 
 
+@query("permutation_importance_forest")
+def permutation_importance_forest(d):
+    frame = d.model_frame
+    fitted = fit(FOREST, frame.where("split <> 'test'"), d.registry)
+    return experiments.permutation_importance(fitted, frame.where("split = 'test'"), d.registry)
+
+
 @query("attribution")
 def attribution(d):
     frame = d.model_frame

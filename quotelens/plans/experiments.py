@@ -7,7 +7,14 @@ import random
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-
+from itertools import accumulate
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoderModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +23,8 @@ from quotelens.operators.metrics import absolute_error
 from quotelens.operators.ordered import positions
 from quotelens.operators.selection import seeded_sample
 from quotelens.plans.models import LABEL, Candidate, Fitted, evaluate, evaluate_many
+from quotelens.plans.trees import TreesModel
+from quotelens.session import materialise
 
 RESULT_SCHEMA = (
     "model_name string, estimator_class string, feature_block string, encoding_strategy string, validation_mae double,"
@@ -211,22 +220,79 @@ def permutation_importance(
     """Rise of the MAE when one feature is shuffled: mean and spread over repeats.
 
     A repeat pairs every row with the row at the same place of another digest order, which is an
-    exact permutation and one equi-join.  Each pair then scores once per feature, with that
-    feature taken from the partner; all of it is one plan.
+    exact permutation and one equi-join. Where the learner allows it, a pair yields the predictions of
+    all swaps as one array: a linear model's changes by the feature's share of the prediction, and of a forest
+    only the trees that split on the feature answer anew. Other learners score each pair once per feature.
     """
     numeric, categorical = registry.select_block(fitted.candidate.block)
     features = [*numeric, *categorical]
     base = rows.select(S.ID, LABEL, *features)
     plain = fitted.predict(base).agg(F.avg(absolute_error(LABEL)).alias("mae")).scalar()
+    errors = _swaps_as_arrays(fitted, base, numeric, categorical, repeats, seed)
+    if errors is None:
+        errors = _swaps_as_rows(fitted, base, features, repeats, seed)
+    return errors.groupBy(F.col("_feature").alias("feature")).agg(
+        (F.avg("mae") - plain).alias("importance_mean"), F.stddev_pop("mae").alias("importance_std")
+    )
+
+
+def _placed(rows: DataFrame, seed: int, salt: str) -> DataFrame:
+    keyed = rows.withColumn("_digest", F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), F.col(S.ID).cast("string"))))
+    return positions(keyed, [], ["_digest", S.ID], F.substring("_digest", 1, 4), "_place").drop("_digest")
+
+
+def _swaps_as_arrays(
+    fitted: Fitted, base: DataFrame, numeric: Sequence[str], categorical: Sequence[str], repeats: int, seed: int
+) -> DataFrame | None:
+    """(_feature, _repeat, mae) for learners that need no scoring of whole rows; else None."""
+    learner = fitted.model.stages[-1] if fitted.model is not None else None
+    if not isinstance(learner, (LinearRegressionModel, TreesModel)):
+        return None
+    sizes = [1] * len(categorical)
+    for stage in fitted.model.stages:
+        if isinstance(stage, OneHotEncoderModel):
+            # The encoder keeps a place for values that it doesn't know.
+            sizes = [size + 1 for size in stage.categorySizes]
+    features, widths = [*numeric, *categorical], [1] * len(numeric) + sizes
+    ends = list(accumulate(widths, initial=0))
+    coded = fitted.encoder.encode(base) if fitted.encoder else base
+    inputs = PipelineModel(fitted.model.stages[:-1]).transform(coded).select(S.ID, LABEL, vector_to_array("features").alias("_x"))
+    if isinstance(learner, LinearRegressionModel):
+        weights = F.array(*[F.lit(float(w)) for w in learner.coefficients])
+        shares = F.zip_with("_x", weights, lambda x, w: x * w)
+
+        def share(start: int, width: int) -> Column:
+            return F.aggregate(F.slice(shares, start + 1, width), F.lit(0.0), lambda total, s: total + s)
+
+        inputs = inputs.select(S.ID, LABEL, F.array(*[share(e, w) for e, w in zip(ends, widths)]).alias("_x"))
+        whole = F.aggregate("_x", F.lit(float(learner.intercept)), lambda total, s: total + s)
+        # The shares stand once in a row; each swap exchanges one of them.
+        swaps = F.transform(F.zip_with("_x", "_other", lambda own, other: other - own), lambda change: whole + change)
+    else:
+        groups = [list(range(e, e + w)) for e, w in zip(ends, widths)]
+        shared = base.sparkSession.sparkContext.broadcast(learner.trees)
+
+        @F.pandas_udf("array<double>")
+        def swaps_of(own: pd.Series, other: pd.Series) -> pd.Series:
+            return pd.Series(list(shared.value.swapped(np.stack(own), np.stack(other), groups)) if len(own) else [], dtype=object)
+
+        swaps = swaps_of("_x", "_other")
+    own, parts = materialise(_placed(inputs, seed, "own")), []
+    for repeat in range(repeats):
+        partner = _placed(own.select(S.ID, F.col("_x").alias("_other")), seed, f"repeat{repeat}").select("_place", "_other")
+        parts.append(own.join(partner, "_place").select(LABEL, F.lit(repeat).alias("_repeat"), swaps.alias("_swaps")))
+    scored = reduce(DataFrame.unionByName, parts)
+    means = scored.groupBy("_repeat").agg(F.array(*[F.avg(F.abs(F.col(LABEL) - F.col("_swaps")[i])) for i in range(len(features))]).alias("_mae"))
+    named = means.select("_repeat", F.posexplode("_mae").alias("_at", "mae"))
+    return named.select("_repeat", "mae", F.array(*[F.lit(c) for c in features])[F.col("_at")].alias("_feature"))
 
-    def ordered(salt: str) -> DataFrame:
-        keyed = base.withColumn("_digest", F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), F.col(S.ID).cast("string"))))
-        return positions(keyed, [], ["_digest", S.ID], F.substring("_digest", 1, 4), "_place").drop("_digest")
 
-    own = ordered("own")
+def _swaps_as_rows(fitted: Fitted, base: DataFrame, features: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """(_feature, _repeat, mae) for any learner: each pair is scored once per feature, all in one plan."""
+    own = _placed(base, seed, "own")
     shuffled = []
     for repeat in range(repeats):
-        partner = ordered(f"repeat{repeat}").select("_place", *[F.col(c).alias(f"p_{c}") for c in features])
+        partner = _placed(base, seed, f"repeat{repeat}").select("_place", *[F.col(c).alias(f"p_{c}") for c in features])
         paired = own.join(partner, "_place").withColumn("_feature", F.explode(F.array(*[F.lit(c) for c in features])))
         swapped = paired.select(
             S.ID,
@@ -237,10 +303,7 @@ def permutation_importance(
         )
         shuffled.append(swapped)
     scored = fitted.predict(reduce(DataFrame.unionByName, shuffled))
-    errors = scored.groupBy("_feature", "_repeat").agg(F.avg(absolute_error(LABEL)).alias("mae"))
-    return errors.groupBy(F.col("_feature").alias("feature")).agg(
-        (F.avg("mae") - plain).alias("importance_mean"), F.stddev_pop("mae").alias("importance_std")
-    )
+    return scored.groupBy("_feature", "_repeat").agg(F.avg(absolute_error(LABEL)).alias("mae"))
 
 
 def attribution(

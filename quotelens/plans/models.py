@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -207,12 +208,13 @@ def evaluate(candidate: Candidate, train: DataFrame, validation: DataFrame, regi
 
 
 def evaluate_many(
-    frame: DataFrame, jobs: Sequence[tuple[Candidate, Column, Column, dict]], registry: S.FeatureRegistry, by: Sequence[str]
+    frame: DataFrame, jobs: Sequence[tuple[Candidate, Column, Column, dict]], registry: S.FeatureRegistry, by: Sequence[str], parallelism: int = 4
 ) -> tuple[list[dict], DataFrame]:
     """Fit each (candidate, train condition, validation condition, labels), then score and measure all in one job.
 
     Conditions use the columns ``by`` only, which have few values. Ridge candidates share one pass over
-    the rows (see ``gram``) and report equal shares of its time. Returns one row per job, labels
+    the rows (see ``gram``) and report equal shares of its time; the others are fitted ``parallelism`` at a
+    time, as Spark's own tuners do, and report the time they waited for each other too. Returns one row per job, labels
     included, and the predictions with their job number; a ridge without training rows has neither.
     """
     linear = [(n, c, train, validation) for n, (c, train, validation, _) in enumerate(jobs) if c.family == "ridge"]
@@ -221,12 +223,16 @@ def evaluate_many(
     together = {n for n, *_ in linear} if grid else set()
     fits = dict.fromkeys(together, (time.perf_counter() - started) / max(len(together), 1))
     parts = [gram.score_grid(grid, frame, {n: c.name for n, c, *_ in linear})] if grid and grid.fits else []
-    for number, (candidate, train, validation, _) in enumerate(jobs):
-        if number not in together:
-            started = time.perf_counter()
-            fitted = fit(candidate, frame.where(train), registry)
-            fits[number] = time.perf_counter() - started
-            parts.append(predictions(fitted, frame.where(validation)).withColumn("job", F.lit(number)))
+
+    def alone(number: int) -> DataFrame:
+        candidate, train, validation, _ = jobs[number]
+        begun = time.perf_counter()
+        fitted = fit(candidate, frame.where(train), registry)
+        fits[number] = time.perf_counter() - begun
+        return predictions(fitted, frame.where(validation)).withColumn("job", F.lit(number))
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts += pool.map(alone, [number for number in range(len(jobs)) if number not in together])
     scored = reduce(DataFrame.unionByName, parts)
     measured = {row["job"]: row for row in regression_metrics(scored, ["job"]).collect()}
     rows = [

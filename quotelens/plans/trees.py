@@ -70,6 +70,27 @@ class Trees(NamedTuple):
         return total / self.roots
 
 
+    def swapped(self, x: np.ndarray, other: np.ndarray, groups: list[list[int]]) -> np.ndarray:
+        """The mean with one group of columns taken from ``other``, for each group: only trees that split on it answer anew."""
+        total = np.zeros((len(x), len(groups)))
+        number = np.full(x.shape[1], -1)
+        for g, columns in enumerate(groups):
+            number[columns] = g
+        for root in range(self.roots):
+            nodes, inner = [], np.array([root])
+            while len(inner := inner[self.feature[inner] >= 0]):
+                nodes.append(inner)
+                inner = np.concatenate([self.left[inner], self.right[inner]])
+            used = np.unique(number[self.feature[np.concatenate(nodes)]]) if nodes else []
+            plain = self.value[self.leaves(x, root)]
+            total += plain[:, None]
+            for g in used:
+                mixed = x.copy()
+                mixed[:, groups[g]] = other[:, groups[g]]
+                total[:, g] += self.value[self.leaves(mixed, root)] - plain
+        return total / self.roots
+
+
 class Pass(NamedTuple):
     """What a task needs for one batch: the trees so far, the batch's slot of each node (else -1), and thresholds by slot and feature."""
 
