@@ -10,6 +10,7 @@ from quotelens import functions as fn
 from quotelens import schema as S
 from quotelens.operators.ordered import positions
 from quotelens.session import materialise
+from quotelens.sources.json_lists import json_items
 
 
 def _raw(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -84,18 +85,16 @@ def read_requests(spark: SparkSession, path: str, kind: str | None = None) -> Da
 
     JSON is read with the declared fields and columns that only history has, each as text, so
     nothing is inferred from values; any other key is kept, for the contract to refuse. Rows are
-    numbered by file name and place in the file, also over several files.
+    numbered by file name and place in the file, also over several files. A list is cut into items across
+    partitions (see ``json_lists``), so a file of any size is read.
     """
     kind = kind or ("json" if path.endswith(".json") else "csv")
     known = [f.name for f in S.REQUEST.fields]
     if kind == "json":
         names = [*known, *S.HISTORY_ONLY_COLUMNS]
-        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
-        # A request file is one list or one object: its keys are read before its values.
-        many, one = F.from_json("value", "array<map<string,string>>"), F.from_json("value", "map<string,string>")
-        refused = F.raise_error(F.concat(F.lit("not a JSON list or object: "), "_file"))
-        items = F.when(many.isNotNull(), many).when(one.isNotNull(), F.array(one)).otherwise(refused)
-        rows = whole.select("_file", F.posexplode(items).alias("_place", "_item")).withColumn("_start", F.lit(0).cast("bigint"))
+        parsed = F.from_json("item", "map<string,string>")
+        refused = F.raise_error(F.concat(F.lit("not a JSON object in "), "_file", F.lit(": "), F.left("item", F.lit(200))))
+        rows = materialise(json_items(spark, path).select("_file", "_start", "_place", F.coalesce(parsed, refused.cast("map<string,string>")).alias("_item")))
         keys = rows.select(F.explode(F.map_keys("_item")).alias("k")).distinct().where(~F.col("k").isin(*names))
         extra = sorted(r["k"] for r in keys.limit(10).collect())
         frame = rows.select("_file", "_start", "_place", *[F.col("_item")[n].alias(n) for n in names], *[F.col("_item")[n].alias(n) for n in extra])
