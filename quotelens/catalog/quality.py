@@ -1,13 +1,16 @@
 """Readers, table checks and the request contract."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotelens import functions as fn
 from quotelens import schema as S
 from quotelens.catalog.base import basket_sql, cte, freq_sql, query, r, rs
-from quotelens.operators import audit, quality
-from quotelens.session import scratch_folder
+from quotelens.operators import audit, quality, sketches
+from quotelens.session import materialise, scratch_folder
 from quotelens.sources import readers, sinks
 
 # ---- sources -------------------------------------------------------------------------
@@ -97,31 +100,41 @@ def _profile_sql(table, columns):
     parts = []
     for name, numeric in columns:
         number = (lambda f: r(f"{f}(CAST({name} AS DOUBLE))")) if numeric else (lambda f: "CAST(NULL AS DOUBLE)")
+
+        def quartile(p, alias):
+            return (r(f"quantile_cont(CAST({name} AS DOUBLE), {p})") if numeric else "CAST(NULL AS DOUBLE)") + f" AS {alias}"
+
         parts.append(
             f"SELECT '{table}' AS \"table\", '{name}' AS \"column\", count(*) AS row_count, count(*) - count({name}) AS null_rows,"
-            f" {number('min')} AS min, {number('max')} AS max, {number('avg')} AS mean FROM {table}_src"
+            f" count(DISTINCT {name}) AS distinct_values, {number('min')} AS min, {number('max')} AS max, {number('avg')} AS mean,"
+            f" {', '.join(quartile(p, n) for p, n in ((0.25, 'q25'), (0.5, 'median'), (0.75, 'q75')))} FROM {table}_src"
         )
     return " UNION ALL ".join(parts)
 
 
 cte("quotes_src", "SELECT * FROM dirty_quotes_v")
 cte("series_src", "SELECT * FROM dirty_series_v")
+cte("dimension_src", "SELECT * FROM dirty_dimension_v")
 _PROFILED = {
     "quotes": [(f.name, isinstance(f.dataType, (T.DoubleType, T.IntegerType)) or f.name == "rfq_id") for f in S.QUOTES.fields],
     "series": [("date", False), ("underlying", False), ("realized_vol_63d", True)],
+    "dimension": [("underlying", False), ("sector", False), ("structural_base_vol", True)],
 }
 
 
 @query("profile_tables", " UNION ALL ".join(_profile_sql(t, c) for t, c in _PROFILED.items()))
 def profile_tables(d):
-    """Column profile; the approximate figures are left out where exact ones are compared."""
-    parts = audit.profile_columns(d.dirty_quotes, "quotes").unionByName(audit.profile_columns(d.dirty_series, "series"))
-    return parts.drop("approx_distinct", "quartiles")
+    """Exact profile of every column of the three tables."""
+    tables = {"quotes": d.dirty_quotes, "series": d.dirty_series, "dimension": d.dirty_dimension}
+    return reduce(DataFrame.unionByName, [audit.profile_columns(frame, name) for name, frame in tables.items()])
 
 
 @query("profile_tables_approx")
 def profile_tables_approx(d):
-    return audit.profile_columns(d.quotes, "quotes")
+    """The profile from sketches, one state row per file and column of the stored tables."""
+    tables = {"quotes": d.dirty_quotes, "series": d.dirty_series, "dimension": d.dirty_dimension}
+    merged = [sketches.merge_sketches(sketches.column_sketches(materialise(frame)), name) for name, frame in tables.items()]
+    return reduce(DataFrame.unionByName, merged)
 
 
 @query("dataset_fingerprint")

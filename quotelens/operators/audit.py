@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quotelens import functions as fn
 from quotelens import schema as S
+from quotelens.operators import ordered
 from quotelens.operators.baskets import explode_basket
 from quotelens.operators.drift import MISSING, long_text
 from quotelens.operators.ordered import exact_quantiles, null_safe_join
+from quotelens.operators.sketches import numeric_columns
 from quotelens.operators.splits import fold_map, fold_text
 
 def _rows() -> Column:
@@ -588,20 +590,22 @@ def eda_summary(quotes: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def profile_columns(frame: DataFrame, table: str) -> DataFrame:
-    """Per column: rows, nulls, distinct values, min, max, mean and approximate quartiles.
+    """Per column: rows, nulls, distinct values, min, max, mean and quartiles, all exact (``sketches`` has the cheap form).
 
     Columns are unpivoted to text once; figures of numeric columns come from the cast value.
     """
-    numeric = {f.name for f in frame.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte", "decimal")}
     long = long_text(frame, [], frame.columns)
-    number = F.when(F.col("feature").isin(*numeric), F.col("value").try_cast("double"))
-    return long.groupBy("feature").agg(
+    number = F.when(F.col("feature").isin(*numeric_columns(frame)), F.col("value").try_cast("double"))
+    plain = long.groupBy("feature").agg(
         F.lit(table).alias("table"),
         _rows().alias("row_count"),
         F.count_if(F.col("value").isNull()).alias("null_rows"),
-        F.approx_count_distinct("value").alias("approx_distinct"),
         F.min(number).alias("min"),
         F.max(number).alias("max"),
         F.avg(number).alias("mean"),
-        F.percentile_approx(number, [0.25, 0.5, 0.75], 1000).alias("quartiles"),
-    ).withColumnRenamed("feature", "column")
+    )
+    # One row per value, whatever its number of rows: the count of a column's values is then a plain count.
+    distinct = ordered.value_counts(long, ["feature"], "value").groupBy("feature").agg(_rows().alias("distinct_values"))
+    quartiles = exact_quantiles(long.select("feature", number.alias("number")), ["feature"], "number", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    joined = plain.join(distinct, "feature", "left").join(quartiles, "feature", "left")
+    return joined.withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("bigint"))).withColumnRenamed("feature", "column")
