@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelens import schema as S
-from quotelens.catalog.base import query
+from quotelens.catalog.base import query, rs
+from quotelens.catalog.quality import REQUEST_BASKET_SQL, REQUEST_REASONS_SQL
 from quotelens.operators import scoring
 from quotelens.operators.encoding import fit_encoder
 from quotelens.operators.quality import request_contract
 from quotelens.plans import experiments, serving
 from quotelens.plans.models import SEGMENT_BLOCKS, Candidate, default_candidates, fit, predictions, stable_candidates
+from quotelens.sources import sinks
 
 RIDGE = Candidate("ridge_onehot", "ridge", "compact_core", "onehot", {"alpha": 5.0})
 RIDGE_ORDINAL = Candidate("ridge_ordinal", "ridge", "all_without_commercial", "ordinal", {"alpha": 5.0})
@@ -213,12 +215,27 @@ def score_batch(d):
     return scored.withColumns({"warnings": F.array_join("warnings", "; "), "reasons": F.array_join("reasons", ",")})
 
 
-@query("read_requests")
-def read_requests(d):
-    """Quotes written as a request CSV and read back through the declared request schema."""
+_READ_SQL = f"""SELECT product_type, {REQUEST_BASKET_SQL} AS underlyings, basket_type, {rs('autocall_barrier_pct', 'protection_barrier_pct')}, no_call_period_months,
+ observation_frequency, {rs('quoted_implied_vol', 'notional_credits')}, coalesce(counterparty, 'UNKNOWN') AS counterparty, coalesce(trader_id, 'UNKNOWN') AS trader_id, requested_date, start_date, end_date,
+ {REQUEST_REASONS_SQL} AS reasons FROM quotes_v"""
+
+
+def _read_back(d, kind, write):
     from quotelens.session import scratch_folder
-    from quotelens.sources import readers, sinks
+    from quotelens.sources import readers
 
     path = f"{scratch_folder(d.spark)}/requests"
-    sinks.write_table(d.quotes.select(*[f.name for f in S.REQUEST.fields]), path, "csv")
-    return request_contract(readers.read_requests(d.spark, path, "csv")).drop("request_ord").withColumn("reasons", F.array_join("reasons", ","))
+    write(d.quotes.select(*[f.name for f in S.REQUEST.fields]), path)
+    return request_contract(readers.read_requests(d.spark, path, kind)).drop("request_ord").withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("read_requests", _READ_SQL)
+def read_requests(d):
+    """Quotes written as a request CSV and read back through the declared request schema."""
+    return _read_back(d, "csv", lambda rows, path: sinks.write_table(rows, path, "csv"))
+
+
+@query("read_requests_json", _READ_SQL)
+def read_requests_json(d):
+    """Quotes written as JSON lists, one per partition, and read back in items cut by byte range."""
+    return _read_back(d, "json", sinks.write_json_lists)

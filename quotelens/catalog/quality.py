@@ -338,10 +338,13 @@ _BROKEN = {
 }
 
 
+REQUEST_BASKET_SQL = f"array_to_string({_U}, '|')"
+REQUEST_REASONS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _BROKEN.items()) + ")"
+
+
 @query(
     "request_contract",
-    f"""SELECT rfq_id AS request_ord, array_to_string({_U}, '|') AS underlyings, coalesce(counterparty, 'UNKNOWN') AS counterparty,
- concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _BROKEN.items())}) AS reasons FROM dirty_quotes_v""",
+    f"SELECT rfq_id AS request_ord, {REQUEST_BASKET_SQL} AS underlyings, coalesce(counterparty, 'UNKNOWN') AS counterparty, {REQUEST_REASONS_SQL} AS reasons FROM dirty_quotes_v",
 )
 def request_contract(d):
     requests = d.dirty_quotes.withColumn("request_ord", F.col("rfq_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +92,19 @@ def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256")
     )
+
+
+def write_json_lists(frame: DataFrame, path: str) -> None:
+    """Each partition as one file that holds one JSON list, nulls written; a frame without rows writes no list."""
+
+    def listed(batches):
+        opened = False
+        for batch in batches:
+            texts = [("," if opened or place else "[") + text for place, text in enumerate(batch.column(0).to_pylist())]
+            opened = opened or bool(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+        if opened:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    items = frame.select(F.to_json(F.struct(*frame.columns), {"ignoreNullFields": "false"}).alias("value"))
+    items.mapInArrow(listed, "value string").write.mode("overwrite").text(path)

@@ -7,6 +7,7 @@ import pytest
 
 from quotelens.sources.json_lists import json_items
 from quotelens.sources.readers import read_requests
+from quotelens.sources.sinks import write_json_lists
 
 ODD = ['a "quoted" } brace', "back\\slash\\", "},{", "[[", "line\nbreak", "snow ☃ and 😀", "", "\\\"}", 'ends in \\\\"}']
 
@@ -48,3 +49,13 @@ def test_requests_refuse_a_broken_object(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"product_type": "x"}, {"product_type": }]')
     with pytest.raises(Exception, match="bad.json"):
         read_requests(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_written_lists_come_back(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id", "if(id % 3 = 0, null, concat('}\\\\\"', id)) AS text").repartition(3)
+    write_json_lists(rows, str(tmp_path / "lists"))
+    got = [json.loads(item) for item in _items(spark, tmp_path / "lists")]
+    assert sorted((r["id"], r["text"] or "") for r in got) == sorted((r["id"], r["text"] or "") for r in rows.collect())
+    assert all(set(r) == {"id", "text"} for r in got)
+    write_json_lists(rows.where("id < 0"), str(tmp_path / "none"))
+    assert _items(spark, tmp_path / "none") == []
