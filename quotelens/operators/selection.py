@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,62 @@ def poisson_weight(uniform: Column) -> Column:
         chain = chain.when(uniform < total, F.lit(k))
 
 
+#: Replicates by rows that are weighted at a time, so that they stay in cache.
+_TILE = (512, 128)
+
+
+def _poisson_steps() -> np.ndarray:
+    """Where the cumulative distribution of ``poisson_weight`` steps up, as integers of 53 bits."""
+    totals, k = [math.exp(-1.0)], 1
+    while (further := totals[-1] + math.exp(-1.0) / math.factorial(k)) != totals[-1]:
+        totals.append(further)
+        k += 1
+    # uniform < total for uniform = bits / 2^53 means bits < total * 2^53, a product that is exact.
+    return np.array([math.ceil(t * 2.0**53) for t in totals], np.int64)
+
+
+def _digest(h: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of the ints ``number`` (a column) seeded with each of ``h``."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    x = (h + p5 + np.uint64(4))[None, :] ^ (number.astype(np.uint64) * p1)[:, None]
+    x = ((x << np.uint64(23)) | (x >> np.uint64(41))) * p2 + p3
+    x ^= x >> np.uint64(33)
+    x *= p2
+    x ^= x >> np.uint64(29)
+    x *= p3
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _weighted_sums(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
+    """Per replicate, over a task's rows: the weighted sum of ``d`` (null without any ``d``) and the sum of the weights."""
+    steps = _poisson_steps()
+    # Weights by the first 12 of 53 bits; 255 where a step lies inside.
+    edges = np.arange(4097, dtype=np.int64) << 41
+    lower, upper = np.searchsorted(steps, edges[:-1], "right"), np.searchsorted(steps, edges[1:] - 1, "right")
+    table = np.where(lower == upper, lower, 255).astype(np.uint8)
+    weighted, weights, seen, known = np.zeros(replicates), np.zeros(replicates, np.int64), False, False
+    numbers, mask = np.arange(replicates), np.uint64((1 << 53) - 1)
+    for batch in batches:
+        h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        there = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        d = np.where(there, batch.column(1).to_numpy(zero_copy_only=False), 0.0)
+        seen, known = seen or len(h) > 0, known or bool(there.any())
+        for row in range(0, len(h), _TILE[0]):
+            own, gap = h[row : row + _TILE[0]], d[row : row + _TILE[0]]
+            for first in range(0, replicates, _TILE[1]):
+                bits = (_digest(own, numbers[first : first + _TILE[1]]) & mask).view(np.int64)
+                weight = table[bits >> 41]
+                unsure = weight == 255
+                if unsure.any():
+                    weight[unsure] = np.searchsorted(steps, bits[unsure], "right")
+                weighted[first : first + _TILE[1]] += weight.astype(np.float64) @ gap
+                weights[first : first + _TILE[1]] += weight.sum(1, dtype=np.int64)
+    if seen:
+        sums = pa.array(weighted) if known else pa.nulls(replicates, pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), sums, pa.array(weights)], ["replicate", "weighted", "weights"])
+
+
 def bootstrap_rows(
     pairs: DataFrame, *, replicates: int = S.BOOTSTRAP_REPLICATES, seed: int = S.SEED, id_column: str = S.ID
 ) -> DataFrame:
@@ -58,17 +116,12 @@ def bootstrap_rows(
     the map side, so the shuffle carries replicates, not rows, and a lost task redraws the same
     weights.
     """
-    drawn = pairs.select(
-        (F.col("error_global") - F.col("error_segmented")).alias("d"),
-        id_column,
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
-    )
-    bits = F.xxhash64(F.lit(seed), F.col(id_column).cast("string"), F.col("replicate"))
-    uniform = F.pmod(bits, F.lit(1 << 53)).cast("double") / float(1 << 53)
-    weight = poisson_weight(uniform)
-    sums = drawn.groupBy("replicate").agg(
-        F.try_divide(F.sum(weight * F.col("d")), F.sum(weight).cast("double")).alias("difference")
-    )
+    # The digest of (seed, row) is taken once per row; a task goes on from it with the replicate's number.
+    rows = pairs.select(F.xxhash64(F.lit(seed), F.col(id_column).cast("string")).alias("h"), (F.col("error_global") - F.col("error_segmented")).cast("double").alias("d"))
+    # Few bytes but much work per row, so every core gets a share.
+    rows = rows.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism) * 4)
+    parts = rows.mapInArrow(lambda batches: _weighted_sums(batches, replicates), "replicate int, weighted double, weights bigint")
+    sums = parts.groupBy("replicate").agg(F.try_divide(F.sum("weighted"), F.sum("weights").cast("double")).alias("difference"))
     return _interval(sums, pairs).withColumn("n_bootstrap", F.lit(replicates))
 
 
