@@ -220,7 +220,9 @@ def pearson_safe(d):
     f"SELECT feature, {r(corr_sql('value', 'target', 'true'))} AS correlation_with_target FROM flong_v WHERE split <> 'test' GROUP BY feature",
 )
 def target_correlations(d):
-    return association.target_correlations(d.model_frame.where("split <> 'test'"), list(REG.numeric), "target")
+    """One pass over the numbers, which are therefore not stored."""
+    rows = d.model_columns("split", "target", *REG.numeric).where("split <> 'test'")
+    return association.target_correlations(rows, list(REG.numeric), "target")
 
 
 cte("pairs_v", "SELECT feature, split, segment, value, target FROM flong_v WHERE value IS NOT NULL AND target IS NOT NULL")

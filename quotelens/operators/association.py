@@ -11,6 +11,7 @@ from quotelens import functions as fn
 from quotelens import schema as S
 from quotelens.operators.drift import MISSING, long_numeric, long_text, two_sample
 from quotelens.operators.ordered import exact_quantiles, null_safe_join, running_sums
+from quotelens.operators.wide import pearson, wide_moments
 
 MIN_SIGNAL_ROWS = 30
 MIN_CATEGORY_ROWS = 20
@@ -27,10 +28,7 @@ def pearson_terms(x: Column, y: Column) -> Column:
 
 def target_correlations(frame: DataFrame, features: Sequence[str], target: str = S.TARGET) -> DataFrame:
     """Pearson correlation of every numeric feature with the target, strongest first."""
-    long = long_numeric(frame.withColumn("_target", F.col(target)), ["_target"], features)
-    out = long.groupBy("feature").agg(
-        pearson_terms(F.col("value"), F.col("_target")).alias("correlation_with_target")
-    )
+    out = wide_moments(frame, [], features, target).select("feature", pearson().alias("correlation_with_target"))
     return out.orderBy(F.abs("correlation_with_target").desc_nulls_last(), "feature")
 
 
