@@ -45,13 +45,18 @@ def _pred(d, name: str, rows: DataFrame | None = None) -> DataFrame:
     return baselines.group_median(train, rows, S.BASELINE_KEYS[name], "target").withColumn("actual", F.col("target"))
 
 
-def _all_predictions(d) -> DataFrame:
+def _all_predictions(d, segments: DataFrame | None = None) -> DataFrame:
+    """(model_name, rfq_id, actual, prediction) of every baseline; with ``segment``, if a table of them by id is given."""
     frame = d.contract_frame
     train, validation = frame.where("split = 'train'"), frame.where("split = 'validation'")
-    medians = baselines.group_medians(train, validation, S.BASELINE_KEYS, "target")
+    keep = []
+    if segments is not None:
+        # Joined to the rows before each gets one row per model.
+        validation, keep = validation.drop("segment").join(segments, "rfq_id"), ["segment"]
+    medians = baselines.group_medians(train, validation, S.BASELINE_KEYS, "target", keep)
     constants = [
         baselines.constant(train, validation, how, "target").select(
-            F.lit(f"global_{how}").alias("model_name"), "rfq_id", F.col("target").alias("actual"), "prediction"
+            *keep, F.lit(f"global_{how}").alias("model_name"), "rfq_id", F.col("target").alias("actual"), "prediction"
         )
         for how in ("mean", "median")
     ]
@@ -244,7 +249,7 @@ cte(
 
 def _ranked(d) -> DataFrame:
     segments = d.contract_frame.select("rfq_id", "segment")
-    rows = _all_predictions(d).join(segments, "rfq_id")
+    rows = _all_predictions(d, segments)
     # Nine places: models that predict alike must tie whatever the order of the sums.
     return rows.groupBy("segment", "model_name").agg(F.round(F.avg(metrics.absolute_error()), 9).alias("validation_mae"))
 
