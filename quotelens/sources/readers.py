@@ -94,23 +94,26 @@ def read_requests(spark: SparkSession, path: str, kind: str | None = None) -> Da
         names = [*known, *S.HISTORY_ONLY_COLUMNS]
         parsed = F.from_json("item", "map<string,string>")
         refused = F.raise_error(F.concat(F.lit("not a JSON object in "), "_file", F.lit(": "), F.left("item", F.lit(200))))
-        rows = materialise(json_items(spark, path).select("_file", "_start", "_place", F.coalesce(parsed, refused.cast("map<string,string>")).alias("_item")))
-        keys = rows.select(F.explode(F.map_keys("_item")).alias("k")).distinct().where(~F.col("k").isin(*names))
-        extra = sorted(r["k"] for r in keys.limit(10).collect())
-        frame = rows.select("_file", "_start", "_place", *[F.col("_item")[n].alias(n) for n in names], *[F.col("_item")[n].alias(n) for n in extra])
-        seen = rows.agg(*[F.max(F.map_contains_key("_item", n)).alias(n) for n in names]).head()
-        frame = frame.drop(*[n for n in names if not (seen and seen[n])])
+        items = json_items(spark, path).select("_number", F.coalesce(parsed, refused.cast("map<string,string>")).alias("_item"))
+        items = items.withColumn("_keys", F.map_keys("_item"))
+        # Items are stored as columns; the map stays only where it has other keys.
+        other = F.when(F.size(F.array_except("_keys", F.array(*map(F.lit, names)))) > 0, F.col("_item"))
+        rows = materialise(items.select("_number", "_keys", *[F.col("_item")[n].alias(n) for n in names], other.alias("_other")))
+        keys = rows.select("_keys").distinct().select(F.explode("_keys").alias("k")).distinct()
+        found = [r["k"] for r in keys.orderBy(~F.col("k").isin(*names), "k").limit(len(names) + 10).collect()]
+        extra = [k for k in found if k not in names][:10]
+        frame = rows.select(F.col("_number").alias("request_ord"), *[n for n in names if n in found], *[F.col("_other")[n].alias(n) for n in extra])
     else:
         frame = spark.read.csv(path, header=True)
         extra = [c for c in frame.columns if c not in known]
         place = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id()}
         frame = frame.withColumns(place)
-    order = ["_file", "_start", "_place"]
-    # Equal ranges of the file order, stored so that both uses see one cut.
-    ranged = materialise(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    frame = positions(ranged, [], order, F.col("_range"), "request_ord")
+        order = ["_file", "_start", "_place"]
+        # Equal ranges of the file order, stored so that both uses see one cut.
+        ranged = materialise(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+        frame = positions(ranged, [], order, F.col("_range"), "request_ord").drop(*order, "_range")
     fields = [f for f in S.REQUEST.fields if f.name in frame.columns]
-    other = [c for c in frame.columns if c not in {*known, *order, "_range", "request_ord"}]
+    other = [c for c in frame.columns if c not in {*known, "request_ord"}]
     return frame.select("request_ord", *[typed(F.col(f.name), f.dataType).alias(f.name) for f in fields], *other)
 
 

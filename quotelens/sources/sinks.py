@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,9 +101,9 @@ def write_json_lists(frame: DataFrame, path: str) -> None:
     def listed(batches):
         opened = False
         for batch in batches:
-            texts = [("," if opened or place else "[") + text for place, text in enumerate(batch.column(0).to_pylist())]
-            opened = opened or bool(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+            for texts, mark in ((batch.column(0)[:1], "," if opened else "["), (batch.column(0)[1:], ",")):
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(mark, texts, "")], names=["value"])
+            opened = opened or len(batch) > 0
         if opened:
             yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
 

@@ -59,3 +59,63 @@ def test_written_lists_come_back(spark, tmp_path):
     assert all(set(r) == {"id", "text"} for r in got)
     write_json_lists(rows.where("id < 0"), str(tmp_path / "none"))
     assert _items(spark, tmp_path / "none") == []
+
+
+def test_whole_pieces_are_stored_once_and_not_shuffled(spark, tmp_path, monkeypatch):
+    from quotelens.sources import json_lists
+
+    (tmp_path / "flat.json").write_text(json.dumps([{"n": i, "text": "x" * 500} for i in range(400)]))
+    stored = []
+
+    def kept(frame, known=json_lists.materialise):
+        stored.append(known(frame))
+        return stored[-1]
+
+    monkeypatch.setattr(json_lists, "materialise", kept)
+    rows = json_items(spark, str(tmp_path / "flat.json"))
+    texts = [frame for frame in stored if {"value", "_text"} & set(frame.columns)]
+    assert len(texts) == 1 and rows.count() == 400
+    # All other stored tables have a row per chunk.
+    assert [frame.count() for frame in stored if frame is not texts[0]] == [1, 1]
+
+
+def test_numbers_follow_files_and_places(spark, tmp_path):
+    (tmp_path / "b.json").write_text(json.dumps([{"n": i, "deep": {"list": [i]} if i % 3 else "}"} for i in range(4, 30)]))
+    (tmp_path / "a.json").write_text(json.dumps([{"n": i, "text": '"{' * (i % 2)} for i in range(3)]))
+    (tmp_path / "aa.json").write_text('{"n": 3}')
+    (tmp_path / "c.json").write_text("[]")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200)
+    try:
+        got = {r["_number"]: json.loads(r["item"])["n"] for r in json_items(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: i for i in range(30)}
+
+
+def test_chunks_of_any_length_give_the_same_items(spark, tmp_path):
+    random.seed(5)
+    values = [{"n": i, "text": random.choice(ODD), "deep": {"x": [{}]} if i % 4 else random.choice(ODD)} for i in range(200)]
+    (tmp_path / "a.json").write_text(json.dumps(values, ensure_ascii=False), encoding="utf-8")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        got = [json.loads(item) for item in _items(spark, tmp_path)]
+    finally:
+        spark.conf.set(key, old)
+    assert got == values
+
+
+def test_requests_keep_keys_and_order_without_a_sort(spark, tmp_path, monkeypatch):
+    from quotelens.sources import readers
+
+    # Numbers come from the cut; a numbering by sorted ranges is not used.
+    monkeypatch.setattr(readers, "positions", None)
+    listed = [{"product_type": f"P{i}", "odd": i, "executed": "yes"} for i in range(20)] + [{"underlyings": "A"}]
+    (tmp_path / "batch.json").write_text(json.dumps(listed))
+    got = read_requests(spark, str(tmp_path / "batch.json")).orderBy("request_ord")
+    assert sorted(got.columns) == ["executed", "odd", "product_type", "request_ord", "underlyings"]
+    rows = got.collect()
+    assert [r["request_ord"] for r in rows] == list(range(21)) and [r["odd"] for r in rows] == [*map(str, range(20)), None]
+    assert [r["product_type"] for r in rows[:20]] == [f"P{i}" for i in range(20)] and rows[20]["underlyings"] == "A"
